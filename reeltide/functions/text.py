@@ -39,6 +39,14 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _weighted_sum(parts: list[Column], factors: tuple[float, ...]) -> Column:
+    amount = F.transform(parts[0], lambda x: x.cast("double") * factors[0])
+    if len(parts) == 1:
+        return amount
+    rest = _weighted_sum(parts[1:], factors[1:])
+    return F.zip_with(amount, rest, lambda a, b: a + b)
+
+
 def extract_timestamps(text: Column | str) -> Column:
     """struct(raw array<string>, seconds array<double>), patterns applied one after another."""
     t = col(text)
@@ -46,10 +54,7 @@ def extract_timestamps(text: Column | str) -> Column:
     for pattern, factors in L.TIMESTAMP_PATTERNS:
         raws.append(_all(t, pattern, 0))
         parts = [_all(t, pattern, i + 1) for i in range(len(factors))]
-        amount = F.transform(parts[0], lambda x: x.cast("double") * factors[0])
-        for part, factor in zip(parts[1:], factors[1:]):
-            amount = F.zip_with(amount, part, lambda a, p, f=factor: a + p.cast("double") * f)
-        secs.append(amount)
+        secs.append(_weighted_sum(parts, factors))
     return F.struct(F.concat(*raws).alias("raw"), F.concat(*secs).alias("seconds"))
 
 

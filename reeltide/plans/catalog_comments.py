@@ -20,6 +20,11 @@ def with_entities(spark, d):
         w.alias("name"), F.when(F.length(w) % 2 == 0, "PERSON").otherwise("ORG").alias("type"))))
 
 
+def few_authors(spark, d):
+    """The comments spread over eleven authors, so that pairs answer each other often."""
+    return A.comments(spark, d).withColumn("author_id", F.concat(F.lit("u"), F.col("id") * F.col("id") % 11))
+
+
 def known_authors(spark, d):
     return A.comments(spark, d).filter("video_id = 0").groupBy(F.lit("youtube").alias("platform"), "author_id").agg(
         F.lit(5).cast("long").alias("comment_count"), F.timestamp_seconds(F.lit(1600000000)).alias("first_seen_at"),
@@ -49,7 +54,7 @@ QUERIES = {
     "debate_clusters": lambda s, d: C.debate_clusters(A.comments(s, d)),
     "thread_analysis": lambda s, d: C.thread_analysis(A.comments(s, d)),
     "replied_to_edges": lambda s, d: C.replied_to(A.comments(s, d)),
-    "user_loops": lambda s, d: C.user_loops(C.replied_to(A.comments(s, d)), min_exchanges=1),
+    "user_loops": lambda s, d: C.user_loops(C.replied_to(few_authors(s, d))),
     "user_overlap": lambda s, d: C.user_overlap(A.comments(s, d), "user_3"),
     "debate_chains": lambda s, d: C.debate_chains(A.comments(s, d)).withColumn("key_topics", F.array_join("key_topics", ",")),
     "user_profiles": lambda s, d: C.user_profiles(A.comments(s, d), TOPICS).select(
@@ -65,7 +70,7 @@ QUERIES = {
     "annotation_stats": lambda s, d: C.annotation_stats(C.nlp_annotate(A.comments(s, d), toxic_at=0.1)),
     "entity_mentions": lambda s, d: C.entity_mentions(with_entities(s, d)).drop("ts"),
     "echo_chambers": lambda s, d: C.echo_chambers(A.comments(s, d)),
-    "sentiment_cascades": lambda s, d: C.sentiment_cascades(A.comments(s, d)),
+    "sentiment_cascades": lambda s, d: C.sentiment_cascades(A.comments(s, d), min_size=2),
     "authority": lambda s, d: C.authority(A.comments(s, d)),
 }
 
@@ -79,6 +84,12 @@ CLOSURE = """cl AS (SELECT id AS descendant, parent_comment_id AS ancestor, CAST
 KNOWN = """known AS (SELECT DISTINCT author_id FROM comments WHERE video_id=0)"""
 EDGES = """e AS (SELECT c.author_id AS source, p.author_id AS target, count(*) AS count FROM comments c JOIN comments p ON c.parent_comment_id=p.id
    WHERE c.author_id<>p.author_id GROUP BY 1,2)"""
+
+
+def few_edges():
+    return EDGES.replace("c.author_id", "'u' || (c.id*c.id%11)").replace("p.author_id", "'u' || (p.id*p.id%11)")
+
+
 S = "coalesce(sentiment_score,0)"
 
 
@@ -156,8 +167,8 @@ ORACLE = {
         USING (root_thread_id) GROUP BY 1"""),
     "replied_to_edges": sql("comments", "SELECT * FROM e", EDGES),
     "user_loops": sql("comments", """SELECT x.source AS user_a, x.target AS user_b, x.count AS a_to_b, y.count AS b_to_a, x.count+y.count AS total_exchanges
-        FROM e x JOIN e y ON x.source=y.target AND x.target=y.source WHERE x.source<x.target
-        ORDER BY 5 DESC, 1, 2 LIMIT 50""", EDGES),
+        FROM e x JOIN e y ON x.source=y.target AND x.target=y.source WHERE x.source<x.target AND x.count>=3 AND y.count>=3
+        ORDER BY 5 DESC, 1, 2 LIMIT 50""", few_edges()),
     "user_overlap": sql("comments", """SELECT author_id, count(DISTINCT video_id) AS shared_videos FROM comments WHERE author_id<>'user_3'
         AND video_id IN (SELECT video_id FROM comments WHERE author_id='user_3') GROUP BY 1 HAVING count(DISTINCT video_id)>=2 ORDER BY 2 DESC, 1 LIMIT 20"""),
     "debate_chains": sql("comments", f"""SELECT root AS root_comment_id, video_id, participant_count, n AS turn_count, {r('spread', 3)} AS sentiment_polarity_range,
@@ -188,7 +199,7 @@ ORACLE = {
     "community_metrics": community("video_id"),
     "community_metrics_by_channel": community("channel_id"),
     "nlp_annotate": sql("comments", f"""SELECT id, array_to_string(st,'|') AS stamps, array_to_string(nu,'|') AS numbers, len(st) AS n_seconds,
-        spam_score, toxicity_score, {STATUS} AS status FROM an""", ANNOTATED),
+        CAST(spam_score AS DOUBLE) AS spam_score, CAST(toxicity_score AS DOUBLE) AS toxicity_score, {STATUS} AS status FROM an""", ANNOTATED),
     "annotation_stats": sql("comments", f"""SELECT count(*) FILTER (WHERE {STATUS}='processed') AS processed, count(*) FILTER (WHERE {STATUS}='spam') AS spam,
         count(*) FILTER (WHERE {STATUS}='toxic') AS toxic FROM an""", ANNOTATED),
     "entity_mentions": sql("comments", f"""SELECT lower(trim(w)) AS canonical_name, CASE WHEN length(w)%2=0 THEN 'person' ELSE 'organization' END AS entity_type,
@@ -212,7 +223,7 @@ ORACLE = {
         cascade_size, {r('(epoch(t1)-epoch(t0))/60.0', 2)} AS minutes, {r('peak', 3)} AS peak_intensity, {r('(a-z)/cascade_size', 4)} AS damping,
         min(sign) OVER (PARTITION BY root_thread_id)<>max(sign) OVER (PARTITION BY root_thread_id) AS controversy FROM (
         SELECT root_thread_id, sign, island, count(*) AS cascade_size, min(timestamp_posted) AS t0, max(timestamp_posted) AS t1, max(abs(s)) AS peak,
-          abs(arg_min(s,pos)) AS a, abs(arg_max(s,pos)) AS z, arg_min(id,pos) AS first_comment_id FROM o2 WHERE sign<>0 GROUP BY 1,2,3 HAVING count(*)>=3)""",
+          abs(arg_min(s,pos)) AS a, abs(arg_max(s,pos)) AS z, arg_min(id,pos) AS first_comment_id FROM o2 WHERE sign<>0 GROUP BY 1,2,3 HAVING count(*)>=2)""",
         f"""o1 AS (SELECT root_thread_id, id, timestamp_posted, {S} AS s, CASE WHEN {S}>0.2 THEN 1 WHEN {S}<-0.2 THEN -1 ELSE 0 END AS sign,
           row_number() OVER (PARTITION BY root_thread_id ORDER BY timestamp_posted, id) AS pos FROM comments)""",
         "o2 AS (SELECT *, pos-row_number() OVER (PARTITION BY root_thread_id, sign ORDER BY pos) AS island FROM o1)"),

@@ -3,12 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ordered import time_bucket, with_next
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; zoneless timestamps are read as UTC instants, which keeps filters on them in the scan."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    fields = [T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType) for f in df.schema]
+    return df if fields == list(df.schema) else spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def comments(spark, sf_dir) -> DataFrame:
