@@ -18,7 +18,9 @@ def rnd(c: Column | str, digits: int) -> Column:
 
 
 def clip(c: Column | str, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), col(c)))
+    """Clamp; null stays null (greatest and least alone would skip it)."""
+    x = col(c)
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def ratio(num: Column | str, den: Column | str, floor: float = 1.0) -> Column:

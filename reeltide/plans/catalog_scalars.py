@@ -188,7 +188,7 @@ ORACLE = {
     "band_from_value": sql("audio_windows", f"""SELECT id, {r(clip('harmonic_ratio'), 4)} AS value, {r(clip('harmonic_ratio-0.2'), 4)} AS lower,
         {r(clip('harmonic_ratio+0.2'), 4)} AS upper, 'heuristic' AS method FROM audio_windows"""),
     "overall_manipulation": sql("audio_windows", f"""SELECT id, {r('music_probability*0.2+speech_probability*0.2+harmonic_ratio*0.15+zero_crossing_rate*0.15+overall_manipulation*0.15+dynamic_range_db/20*0.15', 6)} AS score FROM audio_windows"""),
-    "lufs_levels": sql("audio_windows", f"""SELECT id, {r('pow(10, loudness_lufs/20)+1e-8', 6)} AS linear, {r(f"coalesce({clip('(loudness_lufs+60)/60')}, speech_probability)", 6).replace('greatest(0.0, least(1.0, (loudness_lufs+60)/60))', 'CASE WHEN loudness_lufs IS NOT NULL THEN greatest(0.0, least(1.0, (loudness_lufs+60)/60)) END')} AS energy FROM audio_windows"""),
+    "lufs_levels": sql("audio_windows", f"""SELECT id, {r('pow(10, loudness_lufs/20)+1e-8', 6)} AS linear, {r(f"coalesce({clip('(loudness_lufs+60)/60')}, speech_probability)", 6)} AS energy FROM audio_windows"""),
     "uploaded_at": sql("videos", "SELECT id, CASE WHEN id%5<>0 THEN CAST(CAST(uploaded_at AS DATE) AS TIMESTAMP) END AS uploaded FROM videos"),
     "vector_hash": sql("vectors", "SELECT id, substr(sha256(array_to_string(list_transform(vector, lambda x: CAST(floor(x*1000) AS BIGINT)), ',')),1,16) AS hash FROM vectors"),
     "node_id_label": sql("videos", """SELECT id, CASE WHEN id%3=0 THEN title ELSE CAST(id AS VARCHAR) END AS node_id,

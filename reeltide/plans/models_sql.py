@@ -7,7 +7,7 @@ def r(expr: str, digits: int) -> str:
 
 
 def clip(expr: str, low=0, high=1) -> str:
-    return f"greatest({float(low)}, least({float(high)}, {expr}))"
+    return f"CASE WHEN ({expr}) IS NOT NULL THEN greatest({float(low)}::DOUBLE, least({float(high)}::DOUBLE, {expr})) END"
 
 
 def words(expr: str) -> str:
