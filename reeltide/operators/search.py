@@ -72,7 +72,7 @@ def fuse_hits(text_hits: DataFrame, visual_hits: DataFrame, decomposed: DataFram
         "query_id", "video_id", hit_key(F.col("timestamp")).alias("bucket"), F.lit(None).cast(t.schema["t"].dataType).alias("t"),
         F.struct("score", (-F.col("timestamp")).alias("o"), "timestamp", "visual_tags").alias("v"))
     g = t.unionByName(v).groupBy(*KEY).agg(F.max("t").alias("t"), F.max("v").alias("v"))
-    g = g.join(F.broadcast(decomposed.select("query_id", "keywords", "numbers")), "query_id", "left")
+    g = g.join(decomposed.select("query_id", "keywords", "numbers"), "query_id", "left")
     low = F.lower(F.coalesce("t.text", F.lit("")))
     g = g.withColumn("_low", low).withColumn("_ocr", F.coalesce("t.ocr_text", F.lit("")))
     kw = F.size(F.filter("keywords", lambda k: F.contains(F.col("_low"), k))) / F.greatest(F.size("keywords"), F.lit(1))
@@ -136,7 +136,7 @@ def near_audio(entries: DataFrame, audio: DataFrame) -> DataFrame:
 
 def add_audio_scores(entries: DataFrame, audio: DataFrame, decomposed: DataFrame, text: str = "text") -> DataFrame:
     q = decomposed.select("query_id", F.transform(F.array_distinct(F.concat("objects", "actions")), lambda x: F.lower(x)).alias("kw"), F.lower(text).alias("low"))
-    n = near_audio(entries, audio).join(F.broadcast(q), "query_id")
+    n = near_audio(entries, audio).join(q, "query_id")
     terms = F.array(*[F.lit(t) for t in L.ACOUSTIC_TERMS])
     labels = F.array_append(F.coalesce("event_labels", F.array().cast("array<string>")), F.coalesce("dominant_source", F.lit("")))
     event = F.size(F.array_intersect("kw", labels)) / F.greatest(F.size(F.array_intersect("kw", terms)), F.lit(1))
