@@ -31,3 +31,233 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: in
     else:
         raise RuntimeError("labels still change; raise max_rounds")
     return label.select("id", F.col("c").alias("community_id"))
+
+
+def _pair_counts(df: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
+    return df.groupBy(F.col(src).cast("string").alias("source"), F.col(dst).cast("string").alias("target")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight")).select("source", "target", F.lit(kind).alias("edge_type"), "weight")
+
+
+def _link(df: DataFrame, src: str, dst: str, kind: str, position: str | None = None) -> DataFrame:
+    weight = F.col(position).cast("double") if position else F.lit(1.0)
+    return df.select(F.col(src).cast("string").alias("source"), F.col(dst).cast("string").alias("target"), F.lit(kind).alias("edge_type"), weight.alias("weight"))
+
+
+def build_nodes(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(id, node_type, label) from ``{node_type: (frame, id column, label column)}``."""
+    from functools import reduce
+    parts = [df.select(F.col(i).cast("string").alias("id"), F.lit(kind).alias("node_type"), F.substring(F.col(l).cast("string"), 1, 50).alias("label"))
+             for kind, (df, i, l) in tables.items()]
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["id", "node_type"])
+
+
+def build_edges(comments: DataFrame, videos: DataFrame | None = None, mentions: DataFrame | None = None, playlist_items: DataFrame | None = None,
+                playlists: DataFrame | None = None, timestamp_links: DataFrame | None = None) -> DataFrame:
+    """Plain edges with set semantics."""
+    from functools import reduce
+    parts = [_link(comments, "author_id", "id", "WROTE"), _link(comments, "id", "video_id", "ON"), _link(comments, "author_id", "video_id", "COMMENTED_ON"),
+             _link(comments.filter("parent_comment_id is not null"), "id", "parent_comment_id", "REPLIES_TO")]
+    if mentions is not None:
+        parts.append(_link(mentions, "source_id", "canonical_name", "MENTIONS"))
+    if videos is not None:
+        parts.append(_link(videos, "channel_id", "id", "UPLOADED"))
+    if playlist_items is not None:
+        parts.append(_link(playlist_items, "playlist_id", "video_id", "CONTAINS", "position"))
+    if playlists is not None:
+        parts.append(_link(playlists, "channel_id", "id", "HAS_PLAYLIST"))
+    if timestamp_links is not None:
+        parts.append(_link(timestamp_links, "comment_id", "segment_id", "REFERENCES_TIMESTAMP", "second"))
+    return dedup_edges(reduce(DataFrame.unionByName, parts))
+
+
+def dedup_edges(edges: DataFrame) -> DataFrame:
+    """One edge per source, target and type; the smallest weight stands for the first."""
+    return edges.groupBy("source", "target", "edge_type").agg(F.min("weight").alias("weight"))
+
+
+def counted_edges(comments: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    from .comments import replied_to
+    out = replied_to(comments).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"),
+                                      F.lit("REPLIED_TO").alias("edge_type"), F.col("count").cast("double").alias("weight"))
+    return out if mentions is None else out.unionByName(_pair_counts(mentions, "author_id", "canonical_name", "DISCUSSES"))
+
+
+def co_occurrence(mentions: DataFrame, window: int = 5) -> DataFrame:
+    """(a, b, count, sources) of entities fewer than ``window`` mentions apart in one source.
+
+    Each mention meets the positions after it by an equi join on (source, position), so a source with many
+    mentions gives at most ``window - 1`` pairs per mention.
+    """
+    m = mentions.select("source_id", "position", "entity_id")
+    ahead = m.withColumn("position", F.explode(F.sequence(F.col("position"), F.col("position") + (window - 1))))
+    other = m.withColumnRenamed("entity_id", "other")
+    pairs = ahead.withColumnRenamed("entity_id", "e1").join(other, ["source_id", "position"]).filter("e1 <> other")
+    g = pairs.groupBy(F.least("e1", "other").alias("a"), F.greatest("e1", "other").alias("b"), "source_id").agg(F.count(F.lit(1)).alias("c"))
+    return g.groupBy("a", "b").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("sources"))
+
+
+def relation_edges(comments: DataFrame, mentions: DataFrame, video_topics: DataFrame | None = None) -> DataFrame:
+    """COVERS, PARTICIPATED_IN, ENGAGED_WITH, MENTIONED_IN and APPEARS_IN edges."""
+    topics = comments.select("author_id", "channel_id", F.explode("topic_labels").alias("topic"))
+    parts = [_link(topics, "author_id", "topic", "PARTICIPATED_IN"), _link(comments, "author_id", "channel_id", "ENGAGED_WITH"),
+             _link(mentions, "canonical_name", "source_id", "MENTIONED_IN"), _link(mentions, "canonical_name", "video_id", "APPEARS_IN"),
+             _link(topics if video_topics is None else video_topics, "channel_id", "topic", "COVERS")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def audience_overlap(members: DataFrame, min_shared: int = 3) -> DataFrame:
+    """Channels that share commenters."""
+    from .pairs import overlap_pairs
+    return overlap_pairs(members, "channel_id", "author_id", min_shared).select(
+        F.col("a").alias("channel_a"), F.col("b").alias("channel_b"), F.col("shared").alias("shared_users"))
+
+
+def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes."""
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def graph_filter(nodes: DataFrame, edges: DataFrame, node_types: list[str]) -> tuple[DataFrame, DataFrame]:
+    kept = nodes.filter(F.col("node_type").isin(node_types))
+    return kept, induced(kept, edges)
+
+
+def sample_per_type(nodes: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n nodes of each type in the order of a seeded hash: the same rows on every run."""
+    from .ordered import top_n_per_key
+    return top_n_per_key(nodes.withColumn("_h", F.xxhash64("id", F.lit(seed))), "node_type", [F.asc("_h"), F.asc("id")], n).drop("_h", "rank")
+
+
+def graph_snapshot(nodes: DataFrame, edges: DataFrame, node_types: list[str], limit: int = 1000, seed: int = 42):
+    """(nodes, edges, totals) of an even sample over the types and the edges inside it."""
+    typed = nodes.filter(F.col("node_type").isin(node_types))
+    picked = sample_per_type(typed, max(limit // max(len(node_types), 1), 10), seed)
+    inside = induced(picked, edges)
+    totals = typed.agg(F.count(F.lit(1)).alias("total_nodes")).withColumn("sampled", F.col("total_nodes") > limit)
+    return picked, inside, totals
+
+
+def traverse(edges: DataFrame, start: DataFrame, max_depth: int, direction: str = "both", edge_types: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(origin, id, distance): nodes within ``max_depth`` hops of each ``start(id)`` at their smallest distance."""
+    if edge_types:
+        edges = edges.filter(F.col("edge_type").isin(edge_types))
+    out = edges.select(F.col("source").alias("id"), F.col("target").alias("next"))
+    back = edges.select(F.col("target").alias("id"), F.col("source").alias("next"))
+    steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    seen = cut_lineage(start.select(F.col("id").alias("origin"), "id", F.lit(0).cast("long").alias("distance")))
+    frontier = seen
+    for depth in range(1, max_depth + 1):
+        reached = frontier.join(steps, "id").select("origin", F.col("next").alias("id")).distinct()
+        frontier = cut_lineage(reached.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("distance", F.lit(depth).cast("long")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen if limit is None else seen.orderBy("distance", "id").limit(limit)
+
+
+def ego_graph(nodes: DataFrame, edges: DataFrame, center: str, hops: int = 2, limit: int = 500):
+    start = nodes.filter(F.col("id") == center).select("id")
+    near = traverse(edges, start, hops, "both", limit=limit).select("id", "distance")
+    kept = nodes.join(near, "id")
+    return kept, induced(kept, edges)
+
+
+def entity_network(edges: DataFrame, name: str, depth: int = 2):
+    """(members, edges) reachable from an entity along directed co-occurrence."""
+    co = edges.filter("edge_type = 'CO_OCCURS_WITH'")
+    start = edges.sparkSession.createDataFrame([(name,)], "id string")
+    members = traverse(co, start, depth, "out").filter("distance > 0").select("id", "distance")
+    return members, induced(members.select("id").unionByName(start), co)
+
+
+def topic_timeline(mentions: DataFrame, topic: str) -> DataFrame:
+    return mentions.filter(F.contains(F.lower("canonical_name"), F.lit(topic.lower()))).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("mentions"))
+
+
+# ---- measures ----------------------------------------------------------------------------
+
+def _adjacency(edges: DataFrame) -> DataFrame:
+    """Undirected neighbour pairs with multiplicity (u, w, m); a loop counts twice in its own list."""
+    e = edges.filter("source is not null and target is not null").select(F.col("source").alias("u"), F.col("target").alias("w"))
+    return e.unionByName(e.select(F.col("w").alias("u"), F.col("u").alias("w"))).groupBy("u", "w").agg(F.count(F.lit(1)).alias("m"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85, directed: bool = False) -> DataFrame:
+    """Influence of every node, largest 1.
+
+    The default sums over neighbours in both directions but divides by the outgoing degree, as the measure is
+    defined; ``directed`` gives the usual PageRank.
+    """
+    ids = nodes.select("id").distinct()
+    n = max(ids.count(), 1)
+    e = edges.filter("source is not null and target is not null")
+    outdeg = e.groupBy(F.col("source").alias("w")).agg(F.count(F.lit(1)).alias("d"))
+    pairs = e.groupBy(F.col("target").alias("u"), F.col("source").alias("w")).agg(F.count(F.lit(1)).alias("m")) if directed else _adjacency(edges)
+    flow = cut_lineage(pairs.join(outdeg, "w", "left").select("u", "w", (F.col("m") / F.greatest(F.coalesce("d", F.lit(1)), F.lit(1))).alias("f")))
+    rank = ids.select("id", F.lit(1.0 / n).alias("r"))
+    for i in range(rounds):
+        got = flow.join(rank.select(F.col("id").alias("w"), "r"), "w").groupBy(F.col("u").alias("id")).agg(F.sum(F.col("r") * F.col("f")).alias("s"))
+        rank = ids.join(got, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("s", F.lit(0.0))).alias("r"))
+        if i % 3 == 2:
+            rank = cut_lineage(rank)
+    rank = cut_lineage(rank)
+    top = rank.agg(F.max("r")).first()[0] or 1.0
+    from ..functions.numbers import rnd
+    return rank.select("id", rnd(F.col("r") / F.lit(top), 4).alias("influence_centrality"))
+
+
+def clustering_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Local clustering over the multigraph, the betweenness estimate and bridges.
+
+    Triangles are found from the end with the smaller degree, whose list of larger neighbours is short even in a
+    graph with hubs; no wedges are shuffled, the lists are intersected in place.
+    """
+    from ..functions.numbers import rnd
+    ids = nodes.select("id").distinct()
+    n = max(ids.count(), 1)
+    adj = cut_lineage(_adjacency(edges))
+    degree = adj.groupBy("u").agg(F.sum("m").alias("d"))
+    loops = adj.filter("u = w").select("u", F.col("m").alias("loop"))  # twice the number of loops
+    simple = adj.filter("u <> w")
+    size = simple.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+    ordered = simple.join(size, "u").join(size.select(F.col("u").alias("w"), F.col("k").alias("kw")), "w").filter("k < kw or (k = kw and u < w)")
+    ordered = cut_lineage(ordered.select("u", "w", "m"))
+    # lists of at most sqrt(2 * edges) neighbours, see the degree order
+    lists = ordered.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("up"))
+    tri = ordered.join(lists, "u").join(lists.select(F.col("u").alias("w"), F.col("up").alias("up_w")), "w")
+    common = F.array_intersect(F.map_keys("up"), F.map_keys("up_w"))
+    tri = tri.select("u", "w", "m", "up", "up_w", F.explode(common).alias("x"))
+    tri = tri.select("u", "w", "x", F.col("m").alias("uw"), F.col("up")[F.col("x")].alias("ux"), F.col("up_w")[F.col("x")].alias("wx"))
+    share = tri.select(F.explode(F.array(
+        F.struct(F.col("u").alias("id"), (2 * F.col("wx")).alias("c")), F.struct(F.col("w").alias("id"), (2 * F.col("ux")).alias("c")),
+        F.struct(F.col("x").alias("id"), (2 * F.col("uw")).alias("c")))).alias("s")).select("s.*")
+    near_loops = simple.join(loops.select(F.col("u").alias("w"), "loop"), "w").select(F.col("u").alias("id"), F.col("loop").alias("c"))
+    own = loops.join(degree, "u").select(F.col("u").alias("id"), (F.col("d") * 2 - F.col("loop")).alias("c"))
+    inside = share.unionByName(near_loops).unionByName(own).groupBy("id").agg(F.sum("c").alias("c"))
+    j = ids.join(degree.withColumnRenamed("u", "id"), "id", "left").join(inside, "id", "left").fillna(0, ["d", "c"])
+    c = F.when(F.col("d") > 0, F.col("c") / F.greatest(F.col("d") * (F.col("d") - 1), F.lit(1)))
+    return j.withColumn("cl", c).select(
+        "id", F.col("d").alias("degree"), rnd(F.coalesce("cl", F.lit(0.0)), 4).alias("clustering"),
+        rnd(F.when(F.col("d") > 0, F.least(F.lit(1.0), (1 - F.col("cl")) * F.col("d") / n)).otherwise(0.0), 4).alias("betweenness_centrality"),
+        ((F.col("d") > 3) & (F.col("cl") < 0.2)).alias("is_bridge_node"))
+
+
+def reciprocity_imbalance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    from ..functions.numbers import rnd
+    ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+                                          F.struct(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+    g = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    j = nodes.select("id").distinct().join(g, "id", "left").fillna(0, ["o", "i"])
+    return j.select("id", rnd(F.abs(F.col("i") - F.col("o")) / F.greatest(F.col("i") + F.col("o"), F.lit(1)), 3).alias("reciprocity_imbalance"))
+
+
+def graph_intelligence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    from ..functions.numbers import rnd
+    n = max(nodes.select("id").distinct().count(), 1)
+    kind = nodes.groupBy("id").agg(F.min("node_type").alias("entity_type"))
+    return (kind.join(pagerank(nodes, edges), "id").join(clustering_betweenness(nodes, edges).drop("degree", "clustering"), "id")
+            .join(reciprocity_imbalance(nodes, edges), "id").withColumn("confidence", rnd(F.lit(min(0.85, 0.3 + n * 1e-4)), 4)))
