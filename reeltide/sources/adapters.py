@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def comments(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    return comments_from(table(spark, sf_dir, "conversations"))
+
+
+def comments_from(c: DataFrame) -> DataFrame:
     odd = F.col("conv_id") % 2 == 1
     parent = F.when(odd, F.col("turn") - 1).otherwise(F.floor((F.col("turn") - 1) / 2))
     depth = F.when(odd, F.col("turn")).otherwise(F.floor(F.log2((F.col("turn") + 1).cast("double")) + 1e-9))
