@@ -136,12 +136,14 @@ def top_token_count(tokens: Column) -> Column:
 
 def is_hallucination(text: Column | str, start: Column | str, end: Column | str) -> Column:
     t = F.trim(col(text))
-    loops = F.lit(False)
-    for p in L.LOOP_PATTERNS:
+    # four copies of ten characters need forty, so short texts skip the costly pattern
+    loops = (F.length(t) >= 40) & t.rlike(L.LOOP_PATTERNS[0])
+    for p in L.LOOP_PATTERNS[1:]:
         loops = loops | t.rlike(p)
     tokens = words(t)
     n = F.size(tokens)
-    dominated = (n > 5) & (top_token_count(tokens) / n > 0.6)
+    # a token over 60 % leaves room for few others; the cheap distinct count rules most texts out
+    dominated = F.when((n > 5) & (F.size(F.array_distinct(tokens)) <= n * 0.4 + 1), top_token_count(tokens) / n > 0.6).otherwise(False)
     return (t == "") | loops | dominated | (col(end) < col(start))
 
 

@@ -10,7 +10,7 @@ from ..functions.scores import lufs_to_linear
 from ..session import cut_lineage
 from .aggregates import quality_level
 from .joins import overlapping
-from .ordered import time_bucket, with_next, with_previous
+from .ordered import time_bucket, with_neighbours, with_previous
 
 # --- fixed: change point thresholds
 SOURCE_DELTA, ENERGY_RATIO, SPECTRAL, HARMONIC, ONSET, MIN_MAGNITUDE = 0.40, 3.0, 0.35, 0.30, 0.3, 0.25
@@ -253,8 +253,7 @@ def smooth_ocr(frames: DataFrame) -> DataFrame:
     """Keep tokens seen in a neighbouring frame or starting with a digit; a text without any is kept at less confidence."""
     b = time_bucket("timestamp", BLOCK)
     order = ["timestamp", "id"]
-    f = with_previous(frames, "video_id", order, b, ["ocr_text"])
-    f = with_next(f, "video_id", order, b, ["ocr_text"])
+    f = with_neighbours(frames, "video_id", order, b, ["ocr_text"])
     around = F.concat(T.words("prev.ocr_text"), T.words("next.ocr_text"))
     f = f.withColumn("_near", around).withColumn("_own", T.raw_words("ocr_text"))
     kept = F.filter("_own", lambda t: F.array_contains(F.col("_near"), F.lower(t)) | t.rlike(r"^\d"))

@@ -49,6 +49,18 @@ def with_next(df: DataFrame, keys, order: list[str], bucket: Column, fields: lis
     return _neighbour(df, keys, order, bucket, fields, name, forward=True)
 
 
+def with_neighbours(df: DataFrame, keys, order: list[str], bucket: Column, fields: list[str], prev: str = "prev", next: str = "next") -> DataFrame:
+    """Both neighbours in one pass."""
+    keys = _keys(keys)
+    rows = df.withColumn("_b", bucket)
+    payload, rank = F.struct(*[F.col(f) for f in fields]), F.struct(*[F.col(o) for o in order])
+    across, w = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy(*order)
+    edges = rows.groupBy(*keys, "_b").agg(F.min_by(payload, rank).alias("_first"), F.max_by(payload, rank).alias("_last"))
+    edges = edges.select(*keys, "_b", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    inside = rows.withColumns({"_p": F.lag(payload).over(w), "_n": F.lead(payload).over(w)}).join(edges, [*keys, "_b"], "left")
+    return inside.withColumns({prev: F.coalesce("_p", "_before"), next: F.coalesce("_n", "_after")}).drop("_b", "_p", "_n", "_before", "_after")
+
+
 def with_position(df: DataFrame, keys, order: list[str], bucket: Column, pos: str = "pos", n: str = "n") -> DataFrame:
     """Add the 0-based position in the key and the size of the key."""
     keys = _keys(keys)

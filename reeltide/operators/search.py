@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.numbers import rnd, total
 from ..functions.urls import timecoded_url
+from ..session import cut_lineage
 from .joins import nearest_distance, within
-from .ordered import time_bucket, top_n_per_key, with_next, with_previous
+from .ordered import time_bucket, top_n_per_key, with_neighbours
 
 MODALITIES = list(L.FUSION_WEIGHTS)
 KEY = ["query_id", "video_id", "bucket"]
@@ -128,7 +129,7 @@ def near_audio(entries: DataFrame, audio: DataFrame) -> DataFrame:
     fields = ["event_labels", "dominant_source", "bpm", "loudness_lufs", "harmonic_ratio", "overall_manipulation"]
     a = audio.select("video_id", "id", F.col("start_time").alias("_s"), F.col("end_time").alias("_e"), *fields)
     hits = entries.select(*KEY, "timestamp")
-    near = within(hits, a, "video_id", "timestamp", "_s", "_e", 5.0, 10.0, 30.0).select(*KEY, *fields)
+    near = cut_lineage(within(hits, a, "video_id", "timestamp", "_s", "_e", 5.0, 10.0, 30.0).select(*KEY, *fields))
     lone = hits.join(near.select(*KEY).distinct(), KEY, "left_anti")
     first = top_n_per_key(a, "video_id", [F.asc("_s"), F.asc("id")], 3).select("video_id", *fields)
     return near.unionByName(lone.join(first, "video_id").select(*KEY, *fields))
@@ -172,12 +173,11 @@ def final_score(entries: DataFrame, weights: dict[str, float] | None = None) ->
     w = weights or L.FUSION_WEIGHTS
     base = total([F.col(m) * w.get(m, 0.0) for m in MODALITIES if m != "temporal_coherence"]) * (0.7 + 0.3 * F.col("confidence"))
     e = entries.withColumn("_base", base)
-    keys, order, b = ["query_id", "video_id"], ["timestamp", "bucket"], time_bucket("timestamp", 600)
-    e = with_next(with_previous(e, keys, order, b, ["timestamp"], "_p"), keys, order, b, ["timestamp"], "_n")
+    e = with_neighbours(e, ["query_id", "video_id"], ["timestamp", "bucket"], time_bucket("timestamp", 600), ["timestamp"], "_prev", "_next")
     t = F.col("timestamp")
-    n = F.when(t - F.col("_p.timestamp") < 30, 1).otherwise(0) + F.when(F.col("_n.timestamp") - t < 30, 1).otherwise(0)
+    n = F.when(t - F.col("_prev.timestamp") < 30, 1).otherwise(0) + F.when(F.col("_next.timestamp") - t < 30, 1).otherwise(0)
     e = e.withColumn("temporal_coherence", F.least(n * 0.15, F.lit(0.3)))
-    return e.withColumn("final_score", F.col("_base") + F.col("temporal_coherence") * w.get("temporal_coherence", 0.0)).drop("_base", "_p", "_n")
+    return e.withColumn("final_score", F.col("_base") + F.col("temporal_coherence") * w.get("temporal_coherence", 0.0)).drop("_base", "_prev", "_next")
 
 
 def inclusion_threshold(entries: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
@@ -186,6 +186,53 @@ def inclusion_threshold(entries: DataFrame, thresholds: dict[str, float] | None
     return entries.filter(reduce(lambda a, b: a | b, [F.col(c) >= v for c, v in t.items()]))
 
 
+def score_hits(queries: DataFrame, tables: dict[str, DataFrame], k: int = 200, weights: dict[str, float] | None = None, text: str = "text") -> DataFrame:
+    """All scores of every hit of every query.
+
+    queries: query_id, vector, text. tables: ``segments``, ``frames`` and ``comments`` with id, vector and their
+    payload, ``audio``, ``alignments``, ``change_points``, ``entities``(canonical_name) and ``video_entities``.
+    Side tables are cut down to the found videos by their joins; the fused hits are kept once for all of them.
+    """
+    from .vectors import vector_topk
+    q = decompose_query(queries.drop("vector"), text)
+    vec = queries.select("query_id", "vector")
+
+    def best(name):
+        return vector_topk(tables[name], vec, k).drop("rank").join(tables[name].drop("vector"), "id")
+
+    e = fuse_hits(best("segments"), best("frames"), q)
+    e = add_comment_scores(e, best("comments"))
+    e = cut_lineage(add_entity_overlap(e, query_entities(queries, tables["entities"], text), tables["video_entities"]))
+    at = e.select(*KEY, "timestamp")
+    extra = [add_audio_scores(at, tables["audio"], q, text), add_alignment(at, tables["alignments"]), add_change_points(at, tables["change_points"])]
+    for side in extra:
+        e = e.join(side.drop("timestamp"), KEY)
+    return final_score(cut_lineage(e), weights)
+
+
+def search(queries: DataFrame, tables: dict[str, DataFrame], filters: dict | None = None, page: int = 1, size: int = 20, k: int = 200,
+           weights: dict[str, float] | None = None, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Result page of every query. Filters are applied before the vector scan, those on videos through a semi join."""
+    from .filters import search_filter
+    tables = dict(tables)
+    for name in ("segments", "frames", "comments"):
+        here = {f: v for f, v in (filters or {}).items() if _applies(f, tables[name])}
+        tables[name] = search_filter(tables[name], **here)
+    on_video = {f: v for f, v in (filters or {}).items() if f != "min_confidence" and _applies(f, tables["videos"])}
+    if on_video:
+        ids = search_filter(tables["videos"], **on_video).select(F.col("id").alias("video_id"))
+        for name in ("segments", "frames", "comments"):
+            tables[name] = tables[name].join(ids, "video_id", "left_semi")
+    hits = inclusion_threshold(score_hits(queries, tables, k, weights), thresholds)
+    return hydrate(page_of_results(hits, page, size), tables["videos"], tables["channels"])
+
+
+def _applies(name: str, df: DataFrame) -> bool:
+    needs = {"language": "language", "min_confidence": "confidence", "channels": "channel_id", "platform": "platform", "tags": "tags", "min_duration": "duration_seconds",
+             "max_duration": "duration_seconds", "min_views": "view_count", "max_views": "view_count", "uploaded_after": "uploaded_at", "uploaded_before": "uploaded_at", "modality": "modality"}
+    return needs[name] in df.columns
+
+
 def page_of_results(entries: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     ranked = top_n_per_key(entries, "query_id", [F.desc(rnd("final_score", 6)), F.asc("video_id"), F.asc("bucket")], page * size)
     return ranked.filter(F.col("rank") > (page - 1) * size)

@@ -9,8 +9,9 @@ from ..functions import text as T
 from ..functions.numbers import rnd, whole_number_seconds
 from ..functions.scores import cosine
 from ..functions.urls import domain
+from ..session import cut_lineage
 from .comments import with_parent
-from .ordered import time_bucket, with_island, with_next, with_position, with_previous
+from .ordered import time_bucket, with_island, with_neighbours, with_next, with_position, with_previous
 
 DAY, MONTH = 86400.0, 30 * 86400.0
 URL = r"""https?://[^\s)"'<>]+"""
@@ -105,8 +106,7 @@ def pinned_history(snapshots: DataFrame) -> DataFrame:
     """Runs of one pinned comment; snapshots: video_id, snapshot_ts, pinned_id."""
     s = snapshots.withColumn("at", whole_number_seconds("snapshot_ts"))
     b = time_bucket("at", MONTH)
-    s = with_previous(s, "video_id", ["at"], b, ["pinned_id"])
-    s = with_next(s, "video_id", ["at"], b, ["snapshot_ts"])
+    s = with_neighbours(s, "video_id", ["at"], b, ["pinned_id", "snapshot_ts"])
     s = with_island(s, "video_id", ["at"], b, F.col("prev").isNull() | ~F.col("prev.pinned_id").eqNullSafe(F.col("pinned_id")))
     return s.filter("pinned_id is not null").groupBy("video_id", "island").agg(
         F.first("pinned_id").alias("pinned_id"), F.min("snapshot_ts").alias("detected_at"), F.max_by("next.snapshot_ts", "at").alias("unpinned_at")).drop("island")
@@ -136,21 +136,28 @@ def deleted_shadows(comments: DataFrame, previous: DataFrame) -> DataFrame:
 def reuse(prints: DataFrame, step: float = 1.0, min_seconds: float = 2.0, stock_channels: int = 3) -> DataFrame:
     """Stretches that two videos share; prints: video_id, channel_id, timestamp (on the step grid), hash.
 
-    A hash is compared within one diagonal (video pair and time offset) only after hashes found in a single video
-    have gone; runs of neighbouring matches become one stretch.
+    A stretch of two or more blocks contains two neighbouring blocks, so videos are matched on pairs of neighbouring
+    hashes: single blocks that many videos share bring no candidates.
     """
     p = prints.select("video_id", "channel_id", F.floor(F.col("timestamp") / step).cast("long").alias("k"), "hash")
-    wide = p.groupBy("hash").agg(F.count_distinct("video_id").alias("videos"), F.count_distinct("channel_id").alias("channels")).filter("videos > 1")
-    p = p.join(wide.select("hash", (F.col("channels") >= stock_channels).alias("stock")), "hash")
+    spread = p.groupBy("hash").agg(F.count_distinct("video_id").alias("videos"), F.count_distinct("channel_id").alias("channels")).filter("videos > 1")
+    p = p.join(spread.select("hash", (F.col("channels") >= stock_channels).alias("stock")), "hash").select("video_id", "k", "hash", "stock").distinct()
+    blocks = 1
+    if min_seconds > step:
+        follow = p.select("video_id", (F.col("k") - 1).alias("k"), F.col("hash").alias("hash2"), F.col("stock").alias("stock2"))
+        p = p.join(follow, ["video_id", "k"]).select("video_id", "k", F.struct("hash", "hash2").alias("hash"), (F.col("stock") | F.col("stock2")).alias("stock"))
+        shared = p.groupBy("hash").agg(F.count_distinct("video_id").alias("v")).filter("v > 1").select("hash")
+        p = p.join(shared, "hash", "left_semi")
+        blocks = 2
     a = p.select("hash", F.col("video_id").alias("a"), F.col("k").alias("ka"), "stock")
     b = p.select("hash", F.col("video_id").alias("b"), F.col("k").alias("kb"))
-    m = a.join(b, "hash").filter("a < b").select("a", "b", "ka", (F.col("kb") - F.col("ka")).alias("offset"), "stock").distinct()
     keys = ["a", "b", "offset"]
+    m = a.join(b, "hash").filter("a < b").groupBy("a", "b", "ka", (F.col("kb") - F.col("ka")).alias("offset")).agg(F.max("stock").alias("stock"))
     bucket = time_bucket("ka", 600)
-    m = with_previous(m, keys, ["ka"], bucket, ["ka"])
+    m = with_previous(cut_lineage(m), keys, ["ka"], bucket, ["ka"])
     m = with_island(m, keys, ["ka"], bucket, F.col("prev").isNull() | (F.col("ka") - F.col("prev.ka") > 1))
     g = m.groupBy(*keys, "island").agg(F.min("ka").alias("k0"), F.max("ka").alias("k1"), F.max("stock").alias("is_stock"))
-    dur = (F.col("k1") - F.col("k0") + 1) * step
+    dur = (F.col("k1") - F.col("k0") + blocks) * step
     return g.filter(dur >= min_seconds).select("a", "b", (F.col("k0") * step).alias("start_a"), ((F.col("k0") + F.col("offset")) * step).alias("start_b"), dur.alias("duration"), "is_stock")
 
 

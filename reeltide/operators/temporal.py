@@ -8,6 +8,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.numbers import clip, rnd, std0, whole_number_seconds
 from ..functions.scores import energy
+from ..session import cut_lineage
 from .joins import cells, within
 from .ordered import exact_quantile, time_bucket, with_position, with_previous, with_running
 
@@ -190,7 +191,7 @@ def highlights(speech: DataFrame, energy_: DataFrame, rate_hz: float = 0.5, firs
     n = energy_.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 10").select("video_id")
     both = energy_.join(n, "video_id", "left_semi").select("video_id", "bucket", "value").join(
         speech.select("video_id", "bucket", F.col("value").alias("s")), ["video_id", "bucket"])
-    both = both.withColumn("v", rnd(F.col("value") + F.col("s"), 9))
+    both = cut_lineage(both.select("video_id", "bucket", rnd(F.col("value") + F.col("s"), 9).alias("v")))
     cut = exact_quantile(both, "video_id", "v", 0.85, "threshold")
     from .ordered import top_n_per_key
     peaks = both.join(cut, "video_id").filter(F.col("v") > F.col("threshold") + 1e-9)

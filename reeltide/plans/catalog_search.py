@@ -46,33 +46,21 @@ def dictionary(s, d):
     return c.select("video_id", name.alias("entity")).distinct()
 
 
-def hits(s, d, kind, k=200):
-    c = corpus(s, d).filter(kind)
-    top = V.vector_topk(c, questions(s, d), k).drop("rank")
-    return top.join(c.drop("vector"), "id")
-
-
-def entries(s, d):
-    q = S.decompose_query(questions(s, d).drop("vector"))
-    e = S.fuse_hits(hits(s, d, "kind < 2"), hits(s, d, "kind = 2"), q)
-    e = S.add_comment_scores(e, hits(s, d, "kind = 3"))
-    names = dictionary(s, d)
-    e = S.add_entity_overlap(e, S.query_entities(q, names.select(F.col("entity").alias("canonical_name"))), names)
-    e = S.add_audio_scores(e, audio(s, d), q)
-    e = S.add_alignment(e, A.segments(s, d).withColumnRenamed("confidence", "alignment_score"))
-    e = S.add_change_points(e, A.audio_windows(s, d).select("video_id", F.col("start_time").alias("timestamp"), F.col("music_probability").alias("magnitude")))
-    return S.final_score(e)
+def tables(s, d):
+    c, names = corpus(s, d), dictionary(s, d)
+    return {"segments": c.filter("kind < 2"), "frames": c.filter("kind = 2"), "comments": c.filter("kind = 3"), "audio": audio(s, d),
+            "alignments": A.segments(s, d).withColumnRenamed("confidence", "alignment_score"), "entities": names.select(F.col("entity").alias("canonical_name")), "video_entities": names,
+            "change_points": A.audio_windows(s, d).select("video_id", F.col("start_time").alias("timestamp"), F.col("music_probability").alias("magnitude")),
+            "videos": A.videos(s, d), "channels": A.channels(s, d)}
 
 
 def scores(e):
     return e.select("query_id", "video_id", "bucket", *[F.floor(F.col(m) * 1e5 + 0.500001).alias(m) for m in [*S.MODALITIES, "final_score"]])
 
 
-def search(s, d):
-    page = S.page_of_results(S.inclusion_threshold(entries(s, d)), 1, 20)
-    v = A.videos(s, d)
-    return S.hydrate(page, v, A.channels(s, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "video_id", "video_title", "channel_name", "timestamp",
-                                                       F.floor(F.col("confidence_score") * 1e4 + 0.5).alias("score"), "video_url_with_timecode", "view_count")
+def search(s, d, filters=None):
+    return S.search(questions(s, d), tables(s, d), filters).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "video_id", "video_title", "channel_name", "timestamp", F.floor(F.col("confidence_score") * 1e4 + 0.5).alias("score"), "video_url_with_timecode", "view_count")
 
 
 def votes(s, d):
@@ -93,7 +81,7 @@ QUERIES = {
     "decompose_query": lambda s, d: S.decompose_query(natural(s, d)).select(
         "query_id", "emotion", "time_era", "context", *[F.array_join(c, "|").alias(c) for c in ("numbers", "actions", "objects", "keywords")]),
     "sub_queries": lambda s, d: S.sub_queries(S.decompose_query(natural(s, d))).select("query_id", "keyword", "ocr", "visual", "emotion"),
-    "fused_scores": lambda s, d: scores(entries(s, d)),
+    "fused_scores": lambda s, d: scores(S.score_hits(questions(s, d), tables(s, d))),
     "search": search,
     "recalibrate_weights": lambda s, d: S.recalibrate_weights(votes(s, d), "2024-01-31"),
     "precision_at_k": lambda s, d: S.precision_at_k(ranked_results(s, d), votes(s, d)),

@@ -13,7 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
     fields = [T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType) for f in df.schema]
-    return df if fields == list(df.schema) else spark.read.schema(T.StructType(fields)).parquet(path)
+    df = df if fields == list(df.schema) else spark.read.schema(T.StructType(fields)).parquet(path)
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+
+
+# tables whose rows cost much work each
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table with fewer file splits than cores, spread by key; a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def comments(spark, sf_dir) -> DataFrame:
