@@ -1,5 +1,6 @@
 """Readers on files, streams replayed from several files, and plan checks."""
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,8 +43,9 @@ def test_video_info_overflow_and_live(spark, tmp_path):
 
 
 def staged(spark, tmp_path, name, rows, schema):
-    """One file per list of rows, in order."""
-    for i, part in enumerate(rows):
+    """One file per list of rows, in order of their modification times."""
+    for part in rows:
+        time.sleep(1.1)
         df = spark.createDataFrame(part, schema).coalesce(1)
         df.write.mode("append").parquet(str(tmp_path / name))
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
