@@ -127,6 +127,4 @@ ORACLE = {
     "reciprocity_imbalance": f"WITH {NODES}, {EDGES}, {RECIP} SELECT id, {r('x', 3)} AS reciprocity_imbalance FROM rc",
     "graph_intelligence": f"""WITH {NODES}, {EDGES}, {PR}, {clustering('edges')}, {RECIP} SELECT id, node_type AS entity_type, {r('r/max(r) OVER ()', 4)} AS influence_centrality, {BETWEEN} AS betweenness_centrality,
         {BRIDGE} AS is_bridge_node, {r('x', 3)} AS reciprocity_imbalance, {r('least(0.85, 0.3+nn.n*1e-4)', 4)} AS confidence FROM nodes JOIN p10 USING (id) JOIN cb USING (id) JOIN rc USING (id), nn""",
-    "communities": """WITH RECURSIVE e AS (SELECT o_orderkey%4000 AS a, o_custkey*7%4000 AS b FROM orders WHERE o_orderkey%3=0 AND (o_orderkey%4000)%5<2), u AS (SELECT a, b FROM e WHERE a<>b UNION SELECT b, a FROM e WHERE a<>b),
-        lb AS (SELECT a AS id, a AS c FROM u UNION SELECT u.b, lb.c FROM lb JOIN u ON lb.id=u.a WHERE lb.c<=u.b) SELECT id, min(c) AS community_id FROM lb GROUP BY 1""",
 }

@@ -24,6 +24,13 @@ def build_session(app: str = "reeltide", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings the operators count on to a session made elsewhere."""
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
