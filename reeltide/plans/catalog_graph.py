@@ -48,7 +48,7 @@ QUERIES = {
     "clustering_betweenness": lambda s, d: G.clustering_betweenness(nodes(s, d), mesh(s, d)),
     "reciprocity_imbalance": lambda s, d: G.reciprocity_imbalance(nodes(s, d), graph_edges(s, d)),
     "graph_intelligence": lambda s, d: G.graph_intelligence(nodes(s, d), graph_edges(s, d)),
-    "communities": lambda s, d: G.communities(chain_edges(s, d)),
+    "communities": lambda s, d: G.communities(graph_edges(s, d)),
 }
 
 
