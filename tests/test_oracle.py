@@ -3,12 +3,14 @@ import pytest
 from oracle_check import TESTDATA, compare
 
 import __spark_entry__ as entry
+from reeltide.plans import catalog
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 
 
 def test_names_match():
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
