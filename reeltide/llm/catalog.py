@@ -6,11 +6,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import fingerprints, quality, sharding
+from . import fingerprints, quality, sharding, simhash, substrings
+from .common import ship
 
 _QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_simhash": simhash.op8_simhash,
     "op10_sharding": sharding.op10_sharding,
 }
 
@@ -18,7 +21,7 @@ ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: q(tune(spark), sf_dir)) for name, q in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, q=q: q(ship(tune(spark)), sf_dir)) for name, q in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

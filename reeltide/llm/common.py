@@ -1,6 +1,9 @@
 """Helpers that several operators share."""
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +14,22 @@ from ..session import staging_path
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, once a session, as spark-submit --py-files would."""
+    context = spark.sparkContext
+    if not getattr(context, "_reeltide_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="reeltide-"), "reeltide.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, files in os.walk(root):
+                for name in files:
+                    if name.endswith(".py"):
+                        out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+        context.addPyFile(path)
+        context._reeltide_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
