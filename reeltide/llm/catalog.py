@@ -6,14 +6,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import fingerprints, quality, sharding, simhash, substrings
+from . import fingerprints, packing, quality, sharding, simhash, substrings, tokens
 from .common import ship
 
 _QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op6_packing": packing.op6_packing,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_simhash": simhash.op8_simhash,
+    "op9_bpe": tokens.op9_bpe,
     "op10_sharding": sharding.op10_sharding,
 }
 
