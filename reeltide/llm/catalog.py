@@ -6,11 +6,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import fingerprints, packing, quality, sharding, simhash, substrings, tokens
+from . import fingerprints, language, packing, quality, sharding, simhash, substrings, tokens, toxicity
 from .common import ship
 
 _QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": language.op3_language_id,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op7_fingerprints": fingerprints.op7_fingerprints,

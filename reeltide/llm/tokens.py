@@ -17,7 +17,7 @@ from .common import table, whole
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
-_S = r"\t-\r \x85\xa0  -     　"
+_S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the split pattern of byte-level BPE.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Entries of a worker's memory of pieces; it starts anew beyond.
