@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import fingerprints, language, packing, quality, sharding, simhash, substrings, tokens, toxicity
+from . import fingerprints, language, packing, quality, sharding, simhash, substrings, tokens, toxicity, urls
 from .common import ship
 
 _QUERIES = {
@@ -14,6 +14,7 @@ _QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": language.op3_language_id,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_url_filters": urls.op5_url_filters,
     "op6_packing": packing.op6_packing,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_simhash": simhash.op8_simhash,
@@ -21,7 +22,7 @@ _QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_url_filters": urls.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,16 +45,21 @@ def _word_measures(w: Column) -> Column:
         F.when(F.size(w) > WINDOW, let(hashes, _repeated)).otherwise(0).cast("long").alias("n_repeat_words"))
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with the counts that the rules use. A null text has no words; repeated rows stay."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """One row per document with the counts that the rules use; with_row adds all its columns as the struct row.
+
+    A null text has no words; repeated rows stay.
+    """
+    carried = ["row"] if with_row else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
     t = F.col("_t")
     lines = F.filter(F.split(t, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
     m = F.col("_m")
-    return (docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_t"))
-            .select("doc_id", let(words(t), _word_measures).alias("_m"), let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("_l"),
+    return (docs.select(*row, F.col(id_col).alias("doc_id"), whole(text_col).alias("_t"))
+            .select(*carried, "doc_id", let(words(t), _word_measures).alias("_m"), let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("_l"),
                     F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"), _removed(t, SYMBOLS).cast("long").alias("n_symbols"), _removed(t, STOPS).cast("long").alias("n_stops"),
                     F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long").alias("n_letters"))
-            .select("doc_id", m["n_words"].alias("n_words"), "word_chars", "n_symbols", (F.col("_l")["n"] - F.col("_l")["d"]).cast("long").alias("n_dup_lines"),
+            .select(*carried, "doc_id", m["n_words"].alias("n_words"), "word_chars", "n_symbols", (F.col("_l")["n"] - F.col("_l")["d"]).cast("long").alias("n_dup_lines"),
                     m["n_repeat_words"].alias("n_repeat_words"), m["n_distinct"].alias("n_distinct"), "n_letters", "n_stops", F.col("_l")["n"].cast("long").alias("n_lines")))
 
 
@@ -134,13 +139,13 @@ def posterior(model: LabelModel) -> Column:
     return 1 / (1 + F.exp(-log))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Measures, votes, posterior and verdict of every document.
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, with_row: bool = False) -> DataFrame:
+    """Measures, votes, posterior and verdict of every document; with_row adds all its columns as the struct row.
 
     Only the histogram of vote patterns (at most 3 ** 9 rows) reaches the driver. Null and empty texts fail the base
     rules, repeated rows and ids keep one output row each, an empty table gives an empty result, other columns are ignored.
     """
-    voted = staged(measures(docs, id_col, text_col).withColumns({f"vote_{k}": v for k, v in rules().items()}), "quality")
+    voted = staged(measures(docs, id_col, text_col, with_row).withColumns({f"vote_{k}": v for k, v in rules().items()}), "quality")
     names = list(rules())
     votes = [f"vote_{k}" for k in names]
     patterns = sorted((tuple(r[v] for v in votes), r["count"]) for r in voted.groupBy(*votes).count().collect())
