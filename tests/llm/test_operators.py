@@ -1,0 +1,326 @@
+"""The operators on hand tables: nulls, empty and long texts, repeated rows, empty tables, clashing columns, skew."""
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from test_queries import check_pieces, check_shards, classes, cut, simhash
+from tokenizers import Tokenizer
+
+from reeltide.llm import fingerprints, language, packing, quality, scan, sharding, simhash as near, substrings, tokens, toxicity, urls
+from reeltide.operators.components import connected_components
+
+PIECES = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_quality_odd(odd, empty):
+    got = quality.quality(odd).collect()
+    assert len(got) == odd.count()
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["n_words"] == by[1]["n_words"] == by[2]["n_words"] == 0 and by[0]["base_failed"] and not by[0]["kept"]
+    assert by[5]["n_repeat_words"] == by[5]["n_words"] == 48 and by[5]["base_failed"]
+    assert by[7]["n_words"] == 30_000
+    assert quality.quality(empty).count() == 0
+    assert quality.quality(odd, with_row=True).select("row.*").columns == odd.columns
+
+
+def test_label_model():
+    """Two informative rules, one coin: EM finds which is which, and a document that both reject is bad."""
+    random.seed(3)
+    seen = {}
+    for _ in range(4000):
+        good = random.random() < 0.7
+        votes = tuple((1 if good else -1) * (1 if random.random() < a else -1) if random.random() < 0.9 else 0 for a in (0.95, 0.9, 0.9, 0.55))
+        seen[votes] = seen.get(votes, 0) + 1
+    model = quality.fit_label_model(sorted(seen.items()), list("abcd"))
+    assert abs(model.prior - 0.7) < 0.05 and model.on_bad["a"] > 0.85 and model.on_bad["d"] < 0.7
+    assert quality.fit_label_model([], ["a"]).prior == 0.8
+
+
+def test_toxicity_odd(llm, odd, empty):
+    labels = llm.createDataFrame([(i, int(i % 2), None) for i in range(8)] + [(None, 1, None), (3, None, None)], "doc_id long, toxic int, quality int")
+    machine = toxicity.learn(odd, labels)
+    got = toxicity.score(odd, machine).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got) and got[0]["row"]["_t"] == "x"
+    nothing = toxicity.learn(empty, labels.limit(0))
+    assert toxicity.score(empty, nothing).count() == 0 and toxicity.score(odd, nothing).count() == odd.count()
+
+
+def test_factorization_machine_learns_pairs():
+    """Two terms that are harmless alone and toxic together: additive weights cannot tell."""
+    rng = np.random.default_rng(1)
+    docs = [[a * 11 + 1, b * 11 + 2] for a, b in rng.integers(0, 2, (3000, 2))]
+    docs = [[t for t in d if t > 2] + [50 + int(rng.integers(20))] for d in docs]
+    label = np.array([float(12 in d and 13 in d) for d in docs])
+    row, bins = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.array([t for d in docs for t in sorted(d)])
+    m = toxicity.FactorizationMachine.fit(row, bins, label)
+    s = m.scores(row, bins, len(docs))
+    assert ((s >= 0.5) == (label == 1)).mean() > 0.98
+    assert m.factors[12] @ m.factors[13] > 0
+
+
+def test_language_odd(llm, odd, empty):
+    references = (("de", language.plain("der die das und nicht ein haus " * 30)), ("en", language.plain("the and not a house of this " * 30)))
+    got = {r["row"]["n_words"]: r for r in language.identify(odd, references).collect()}
+    assert len(got) == odd.count() and got[0]["lang_pred"] == got[1]["lang_pred"] == got[9]["lang_pred"] == "und" and got[0]["score"] == 0
+    assert got[12]["lang_pred"] == "en"
+    assert language.learn(empty) == () and language.identify(odd, ()).filter("lang_pred <> 'und'").count() == 0
+    assert language.identify(empty, references).count() == 0
+
+
+def phrases(text, reference, stretch=language.STRETCH):
+    count = 0
+    for at in range(0, len(text), stretch):
+        part, i = text[at:at + stretch], 0
+        while i < len(part):
+            n = 1
+            while i + n <= len(part) and part[i:i + n] in reference:
+                n += 1
+            i += max(1, n - 1)
+            count += 1
+    return count
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abc de", max_size=400), min_size=1, max_size=4), st.text("abcd ", min_size=3, max_size=60))
+def test_cross_parsing(texts, reference):
+    """Phrase counts of the automata against search in the reference text."""
+    reference = language.plain("abcde " + reference)
+    p = language.CrossParser((("x", reference), ("y", reference[::-1])))
+    found, n = p.phrases(texts)
+    for k, t in enumerate(texts):
+        import re
+        t = re.sub(" +", " ", t)
+        assert n[k] == len(t)
+        assert found[k].tolist() == [phrases(t, reference), phrases(t, reference[::-1])]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab \n\té😀", max_size=30), max_size=6))
+def test_words_in_arrays(texts):
+    import pyarrow as pa
+    got = []
+    for lo, hi, data, offsets in scan.slices(pa.array(texts, pa.string()), 20):
+        starts, ends, first = scan.word_bounds(data, offsets)
+        for k in range(hi - lo):
+            got.append([bytes(data[a:z]) for a, z in zip(starts[first[k]:first[k + 1]], ends[first[k]:first[k + 1]])])
+    assert got == [t.encode().split() for t in texts]
+
+
+def test_substrings_odd(llm, odd, empty):
+    got = {r["row"]["n_words"]: r for r in substrings.remove_repeats(odd).collect()}
+    assert len(got) == odd.count()
+    assert got[0]["n_words"] == 0 and got[0]["kept_text"] == ""
+    assert got[6]["n_removed"] == got[6]["n_words"] == 48 and got[5]["n_removed"] == 48 - 6  # windows of period six
+    assert got[7]["n_words"] == 30_000 and got[7]["n_removed"] == 30_000 - 997 - 19 + 0 * 1 or got[7]["n_removed"] > 28_000
+    assert got[13]["kept_text"] == got[5]["kept_text"]
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_substrings_skew(llm):
+    """A passage in every row, copies, and texts that repeat themselves."""
+    random.seed(5)
+    word = lambda: f"w{random.randint(0, 400)}"
+    passage = [word() for _ in range(60)]
+    docs = []
+    for i in range(300):
+        body = [word() for _ in range(random.randint(0, 80))]
+        at = random.randint(0, len(body))
+        docs.append((i * 7 - 500, " ".join(body[:at] + (passage if i % 3 == 0 else passage[:25] if i % 3 == 1 else []) + body[at:] + (["of"] * 40 if i % 50 == 0 else [])), None))
+    docs += [(5000 + i, docs[0][1], None) for i in range(100)]
+    frame = llm.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string").repartition(7)
+    import hashlib
+    got = {r["row"]["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in substrings.remove_repeats(frame).collect()}
+    assert got == cut(docs)
+
+
+def test_packing_odd(llm, odd, empty):
+    frame = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
+    check_pieces([r.asDict() for r in packing.pieces_digest(packing.pack_documents(frame, WORDS)).collect()], texts)
+    assert packing.pack_documents(empty, WORDS).count() == 0
+    assert packing.pack_documents(odd, WORDS).select("doc_id", "doc_tokens").filter("doc_id is null").count() >= 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 9000), max_size=120))
+def test_pack(lengths):
+    lengths = np.array(lengths, np.int64)
+    out = packing.pack(lengths)
+    seen = {d: [] for d in range(len(lengths))}
+    for pieces in out:
+        size = sum(p[2] for p in pieces)
+        assert size == 4096 or size & (size - 1) == 0
+        for d, start, n in pieces:
+            seen[d].append((start, n))
+    for d, parts in seen.items():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == lengths[d]
+
+
+def test_pack_cuts_few():
+    lengths = np.random.default_rng(0).lognormal(6.3, 0.9, 5000).astype(int) + 1
+    pieces = sum(len(p) for p in packing.pack(lengths))
+    assert pieces < 1.45 * len(lengths)
+
+
+def test_fingerprints_odd(odd, empty):
+    got = fingerprints.fingerprints(odd).collect()
+    assert len(got) == odd.count() and fingerprints.fingerprints(empty).count() == 0
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert by[0][0]["fingerprint"] == by[1][0]["fingerprint"] == "0" * 64 and by[0][0]["n_chars"] == 0
+    assert len({r["fingerprint"] for r in by[5]} | {by[6][0]["fingerprint"]}) == 1
+    assert all(0 <= r[k] <= 1 for r in got for k in ("near_edited", "near_next"))
+
+
+def test_fingerprint_is_homomorphic(llm):
+    from pyspark.sql import functions as F
+    f = fingerprints
+    frame = llm.createDataFrame([("a line\nanother\na line", "another", "a line\na line", "another\na line\na line")], "t string, p string, rest string, other string")
+    h = f.multiset_hash
+    r = frame.select((f.add(h(F.col("rest")), h(F.col("p"))) == h(F.col("t"))).alias("a"), (f.subtract(h(F.col("t")), h(F.col("p"))) == h(F.col("rest"))).alias("b"),
+                     (h(F.col("t")) == h(F.col("other"))).alias("c"), (h(F.col("t")) == h(F.col("rest"))).alias("d")).first()
+    assert (r["a"], r["b"], r["c"], r["d"]) == (True, True, True, False)
+
+
+def test_fingerprints_over_many_buckets(llm, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 7)
+    ids = [-(1 << 62), -5, -4, *range(0, 60), *range(10**12, 10**12 + 40), (1 << 62)]
+    texts = {i: f"{i} " + " ".join(f"t{(i * k) % 91}" for k in range(1, 40)) for i in ids}
+    import hashlib
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprints(llm.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    order = sorted(ids, reverse=True)
+    for k, i in enumerate(order):
+        t, follow = texts[i], texts[order[(k + 1) % len(order)]]
+        assert got[i] == hashlib.sha256((t[:len(t) - len(t) // 2] + follow[:len(t) // 2]).encode()).hexdigest()
+
+
+def test_simhash_odd(odd, empty):
+    got = near.near_duplicates(odd).collect()
+    assert len(got) == odd.count() and near.near_duplicates(empty).count() == 0
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["fp"] == 0 and by[0]["component_id"] == by[1]["component_id"] == by[2]["component_id"] == 0
+    assert by[6]["component_id"] == 5
+
+
+@pytest.mark.parametrize("shard_rows, block_rows", [(64, 1 << 20), (64, 40), (1 << 20, 100)])
+def test_links_against_all_pairs(llm, monkeypatch, shard_rows, block_rows):
+    """Random fingerprints, chains of near ones and a dense cluster, in small shards and small blocks."""
+    monkeypatch.setattr(near, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(near, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(near, "_SMALL", 50)
+    monkeypatch.setattr(near, "build_tree", lambda s, n, b, build=near.build_tree: build(s, n, b, shard_rows))
+    rng = random.Random(9)
+    points = {rng.getrandbits(64) for _ in range(600)}
+    for p in list(points)[:80]:
+        for _ in range(3):
+            for _ in range(rng.randint(1, 4)):
+                p ^= 1 << rng.randrange(64)
+            points.add(p)
+    centre = rng.getrandbits(64)
+    points |= {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(200)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = llm.createDataFrame([(signed(p),) for p in points], "fp long")
+    found = {r["node"]: r["component"] for r in connected_components(near.near_links(frame)).collect()}
+    want = classes({signed(p): p for p in points})
+    groups = lambda of: {frozenset(k for k in of if of[k] == c) for c in set(of.values())}
+    assert groups({p: found.get(p, p) for p in want}) == groups(want)
+
+
+def test_simhash_matches_the_plain_definition():
+    for t in ("", "one", "One two", "a b c d e", "é É ß " * 50, "x " * 5000):
+        assert near.fingerprint(t) == simhash(t)
+    assert near.fingerprint(None) == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abcdefghinorst  \n\t'é日😀12<|>.,"), max_size=60) | st.text(max_size=30))
+def test_bpe_matches(text):
+    library, own = tokenizer(PIECES), tokens.encoder(PIECES)
+    for t in (text, text + "<|endoftext|>" + text):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(t), np.int32).tolist() == ids
+        assert own.decode(np.array(ids, np.int64), np.array([len(ids)])).to_pylist() == [library.decode(ids, skip_special_tokens=False)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abcSTdefgh  \n\t\x0b'éÉ日😀12<|>.,\xa0"), max_size=60) | st.text(max_size=30))
+def test_words_encode_as_the_text(text):
+    got = np.frombuffer(packing.word_encoder(WORDS).encode(text, b""), np.uint32).tolist()
+    assert got == tokenizer(WORDS).encode(text, add_special_tokens=False).ids
+
+
+def tokenizer(path, made={}):
+    if path not in made:
+        made[path] = Tokenizer.from_file(path)
+        made[path].no_truncation()
+        made[path].no_padding()
+    return made[path]
+
+
+def test_decode_of_broken_bytes():
+    own, library = tokens.encoder(PIECES), tokenizer(PIECES)
+    ids = [own.vocabulary.ids[own.vocabulary.rank[bytes([b])]] for b in (0xE6, 0x97, 0x41, 0xFF, 0x80)]
+    assert own.decode(np.array(ids), np.array([2, 5])).to_pylist() == [library.decode(ids[:2], skip_special_tokens=False), library.decode(ids[2:], skip_special_tokens=False)]
+
+
+def test_bpe_odd(odd, empty):
+    coded = tokens.decode(tokens.encode(odd, PIECES), PIECES)
+    got = coded.collect()
+    assert len(got) == odd.count() and all((r["row"]["text"] or "") == r["decoded"] for r in got)
+    assert tokens.encode(empty, PIECES).count() == 0
+
+
+def test_sharding_odd(odd, empty):
+    got = [r.asDict() for r in sharding.shard_documents(odd, n_shards=4).collect()]
+    assert len(got) == odd.count() and sharding.shard_documents(empty).count() == 0
+    assert sorted(r["position"] for r in got) == list(range(len(got)))
+    for r in got:
+        assert r["size"] >= 16
+
+
+def test_sharding_skew(llm, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 50)
+    sources = {i: "big" if i % 3 else f"s{i % 30}" for i in range(3000)}
+    frame = llm.createDataFrame([(i, f"text {i}", s) for i, s in sources.items()], "doc_id long, text string, source string")
+    first = [r.asDict() for r in sharding.shard_documents(frame).collect()]
+    check_shards(first, sources)
+    again = [r.asDict() for r in sharding.shard_documents(frame.repartition(11)).collect()]
+    key = lambda r: r["doc_id"]
+    assert sorted(first, key=key) == sorted(again, key=key)
+
+
+def test_urls_odd(llm):
+    pages = llm.createDataFrame([(1, None), (2, ""), (3, "no scheme/en/"), (4, "http://WWW.Example.COM/en/x?y#z"), (5, "http://a.example.com/en/"), (6, "ftp://x.net/es/a://b/fr/"), (7, "http://net"), (None, "http://listed.org/p/?utm_source=a&b=2&a=1"),
+                                 (8, "https://m.listed.org/p.html?a=1&b=2#f"), (9, "http://other.org/p"), (9, "http://other.org/p"), (10, "http://example.com/fr/\nx")], "page_id long, url string")
+    rules = llm.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    listed = llm.createDataFrame([("listed.org/p?a=1&b=2",), (None,)], "url string")
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages.withColumns({"key": F_lit(), "host": F_lit()}), rules, listed).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "www.example.com", "/en/x", "www.example.com/en/", "allow"), (5, "a.example.com", "/en/", "example.com/en/", "block"),
+        (6, "x.net", "/es/a://b/fr/", "net/es/", "block"), (7, "net", "", None, "allow"), (None, "listed.org", "/p/", None, "block"), (8, "m.listed.org", "/p.html", None, "block"),
+        (9, "other.org", "/p", None, "allow"), (9, "other.org", "/p", None, "allow"), (10, "example.com", "/fr/\nx", "com/", "allow")], key=str)
+    assert urls.judge(pages.limit(0), rules, listed).count() == 0
+    assert urls.judge(pages, rules.limit(0), listed.limit(0)).filter("verdict <> 'allow'").count() == 0
+
+
+def F_lit():
+    from pyspark.sql import functions as F
+    return F.lit("clash")
+
+
+def test_bloom_filter_has_no_false_negatives(llm):
+    from pyspark.sql import functions as F
+    keys = llm.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    blocks, n = urls.bloom_filter(keys, 3000)
+    others = llm.range(3000, 23000).select(F.concat(F.lit("k"), "id").alias("key"))
+    assert urls._may_hold(keys, blocks, n).count() == 3000
+    assert urls._may_hold(others, blocks, n).count() < 400
