@@ -91,7 +91,8 @@ class CrossParser:
         lengths = np.array([len(t) + 1 for t in texts])
         row = np.repeat(np.arange(len(texts)), lengths)
         code = self.code[points]
-        keep = np.ones(len(code), bool)
+        keep = np.ones(len(code), bool)  # a text begins without blanks
+        keep[:1] = code[:1] != 2
         keep[1:] = (code[1:] != 2) | (code[:-1] != 2)
         keep[np.cumsum(lengths) - 1] = False
         code, row = code[keep], row[keep]

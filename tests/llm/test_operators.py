@@ -1,5 +1,6 @@
 """The operators on hand tables: nulls, empty and long texts, repeated rows, empty tables, clashing columns, skew."""
 import random
+import re
 
 import numpy as np
 import public_tokenizers
