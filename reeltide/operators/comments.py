@@ -99,12 +99,13 @@ def descendants(comments: DataFrame, of: DataFrame, max_depth: int = 20) -> Data
         F.col("ancestor").alias("comment_id"), F.col("descendant").alias("reply_id"), "distance", "author_id", "timestamp_posted")
 
 
-def parent_chain(comments: DataFrame, of: DataFrame | None = None, max_depth: int = 20) -> DataFrame:
+def parent_chain(comments: DataFrame, of: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """The comments above each comment with author and text, up to the root or ``max_depth`` hops."""
     closure = ancestor_closure(comments, max_distance=max_depth)
     if of is not None:
         closure = closure.join(of.select(F.col("id").alias("descendant")), "descendant", "left_semi")
-    return closure.join(comments.select(F.col("id").alias("ancestor"), "author_id"), "ancestor").select(
-        F.col("descendant").alias("comment_id"), F.col("ancestor").alias("ancestor_id"), "distance", "author_id")
+    return closure.join(comments.select(F.col("id").alias("ancestor"), "author_id", "text"), "ancestor").select(
+        F.col("descendant").alias("comment_id"), F.col("ancestor").alias("ancestor_id"), "distance", "author_id", "text")
 
 
 def child_counts(comments: DataFrame) -> DataFrame:
@@ -244,8 +245,8 @@ def user_profiles(comments: DataFrame, topic_names: list[str]) -> DataFrame:
         rnd(F.count("parent_comment_id") / n, 3).alias("reply_ratio"), hours.alias("hour_counts"),
         rnd(F.least(F.lit(0.85), 0.2 + n * 0.01), 3).alias("confidence"))
     labels = comments.select("author_id", F.explode("topic_labels").alias("topic")).groupBy("author_id").agg(
-        F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("topic") == t).alias(f"t{i}") for i, t in enumerate(topic_names[:32])])
-    vec = labels.select("author_id", F.array(*[rnd(F.col(f"t{i}") / F.col("all"), 4) for i in range(len(topic_names[:32]))]).alias("topic_vector"))
+        F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("topic") == t).alias(f"t{i}") for i, t in enumerate(topic_names)])
+    vec = labels.select("author_id", F.array(*[rnd(F.col(f"t{i}") / F.col("all"), 4) for i in range(len(topic_names))]).alias("topic_vector"))
     return g.join(vec, "author_id", "left").join(top_topics(comments, "author_id", 5), "author_id", "left")
 
 

@@ -43,7 +43,7 @@ def list_videos(videos, segments, frames, channels, status=None, platform=None,
     rows = page(videos, [F.desc("uploaded_at"), F.asc("id")], number, size)
 
     def children(df, name):
-        wanted = df.join(F.broadcast(rows.select(F.col("id").alias("video_id"))), "video_id", "left_semi")
+        wanted = df.join(rows.select(F.col("id").alias("video_id")), "video_id", "left_semi")
         return wanted.groupBy(F.col("video_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
 
     named = channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel_name"))
@@ -159,13 +159,26 @@ def signal_counts(signals: dict[str, DataFrame], key: str = "video_id") -> DataF
     return out
 
 
+# signals about entities, which belong to no channel
+ENTITY_SIGNALS = ("entity_propagations",)
+
+
 def channel_signals(signals: dict[str, DataFrame], videos: DataFrame, channel_id) -> DataFrame:
-    """Signals of a channel, by its id or through its videos."""
+    """Signals of a channel: by its id, by either end of a migration, or through its videos. Entity signals are left out.
+
+    A table that has none of these columns is an error.
+    """
     mine = videos.filter(F.col("channel_id") == channel_id).select(F.col("id").alias("video_id"))
     out = None
     for name, df in signals.items():
+        if name in ENTITY_SIGNALS:
+            continue
         if "channel_id" in df.columns:
             df = df.filter(F.col("channel_id") == channel_id)
+        elif "from_channel" in df.columns:
+            df = df.filter((F.col("from_channel") == channel_id) | (F.col("to_channel") == channel_id))
+        elif "video_id" not in df.columns:
+            raise ValueError(f"{name} has no channel_id, from_channel or video_id")
         else:
             df = df.join(mine, "video_id", "left_semi")
         row = df.select(F.lit(name).alias("signal"), F.to_json(F.struct(*df.columns)).alias("payload"))
@@ -189,11 +202,11 @@ def cap_per_video(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return top_n_per_key(df, "video_id", [F.asc(c) for c in order], n, "_rank").drop("_rank")
 
 
-def sample_frames(frames: DataFrame, every: int, blur_threshold: float, cap: int = MAX_FRAMES) -> DataFrame:
-    """Every k-th frame that is sharp or a scene change, at most ``cap`` per video."""
+def sample_frames(frames: DataFrame, every: int, blur_threshold: float, cap: int | None = None) -> DataFrame:
+    """Every k-th frame that is sharp or a scene change; ``cap`` (MAX_FRAMES in the described model) limits them per video."""
     placed = with_position(frames, "video_id", ["timestamp", "id"], time_bucket("timestamp", 600))
     kept = placed.filter((F.col("pos") % every == 0) & ((F.col("blur_score") >= blur_threshold) | F.col("is_scene_change")))
-    return cap_per_video(kept.drop("n"), cap, ["pos"])
+    return kept.drop("n") if cap is None else cap_per_video(kept.drop("n"), cap, ["pos"])
 
 
 def eligible_videos(videos: DataFrame, as_of: str, rules: dict | None = None) -> DataFrame:

@@ -5,32 +5,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .components import connected_components
 
 
-def communities(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
-    """(id, community_id): smallest id reachable over undirected edges.
-
-    Each round takes the smallest label among the neighbours and then jumps to the label's own label, so chains
-    shrink by doubling rather than one hop per round.
-    """
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).filter("a <> b")
-    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    ids = both.select(F.col("a").alias("id")).distinct()
-    if nodes is not None:
-        ids = ids.unionByName(nodes.select("id")).distinct()
-    label = cut_lineage(ids.select("id", F.col("id").alias("c")))
-    for _ in range(max_rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        new = label.join(near, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        hop = new.select(F.col("id").alias("c"), F.col("c").alias("c2"))
-        new = cut_lineage(new.join(hop, "c").select("id", "old", F.least("c", "c2").alias("c")))
-        changed = not new.filter("c <> old").isEmpty()
-        label = new.select("id", "c")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("labels still change; raise max_rounds")
-    return label.select("id", F.col("c").alias("community_id"))
+def communities(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, community_id): smallest id reachable over undirected edges, by star contraction in logarithmically many rounds."""
+    ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    ids = ends.select(F.col("a").alias("id")).union(ends.select("b")).filter("id is not null")
+    ids = (ids if nodes is None else ids.union(nodes.select("id"))).distinct()
+    found = connected_components(ends.filter("a <> b")).select(F.col("node").alias("id"), "component")
+    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("community_id"))
 
 
 def _pair_counts(df: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
@@ -48,7 +32,7 @@ def build_nodes(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     from functools import reduce
     parts = [df.select(F.col(i).cast("string").alias("id"), F.lit(kind).alias("node_type"), F.substring(F.col(l).cast("string"), 1, 50).alias("label"))
              for kind, (df, i, l) in tables.items()]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["id", "node_type"])
+    return reduce(DataFrame.unionByName, parts).groupBy("id", "node_type").agg(F.min("label").alias("label"))
 
 
 def build_edges(comments: DataFrame, videos: DataFrame | None = None, mentions: DataFrame | None = None, playlist_items: DataFrame | None = None,
@@ -89,9 +73,10 @@ def co_occurrence(mentions: DataFrame, window: int = 5) -> DataFrame:
     mentions gives at most ``window - 1`` pairs per mention.
     """
     m = mentions.select("source_id", "position", "entity_id")
-    ahead = m.withColumn("position", F.explode(F.sequence(F.col("position"), F.col("position") + (window - 1))))
+    ahead = m.select("source_id", F.col("position").alias("own"), F.explode(F.sequence(F.col("position"), F.col("position") + (window - 1))).alias("position"), F.col("entity_id").alias("e1"))
     other = m.withColumnRenamed("entity_id", "other")
-    pairs = ahead.withColumnRenamed("entity_id", "e1").join(other, ["source_id", "position"]).filter("e1 <> other")
+    # at one position both mentions meet each other, so only the smaller entity counts the pair
+    pairs = ahead.join(other, ["source_id", "position"]).filter("e1 < other or (e1 > other and own < position)")
     g = pairs.groupBy(F.least("e1", "other").alias("a"), F.greatest("e1", "other").alias("b"), "source_id").agg(F.count(F.lit(1)).alias("c"))
     return g.groupBy("a", "b").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("sources"))
 

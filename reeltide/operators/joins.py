@@ -79,21 +79,22 @@ def curve_at(curve: DataFrame, times: DataFrame, rate_hz: float) -> DataFrame:
     return hit.select(*times.columns, "curve_type", F.coalesce("value", "mean").alias("value"))
 
 
-def restrict_to(df: DataFrame, ids: DataFrame, key: str = "video_id") -> DataFrame:
-    return df.join(ids, key, "left_semi")
-
-
 def new_only(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    return incoming.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+    """Incoming rows of keys not stored yet; of several rows of a key the last by its columns."""
+    from ..sources.readers import latest_per_key
+    return latest_per_key(incoming.join(existing.select(key), key, "left_anti"), [key]).select(*incoming.columns)
+
 
+def score_all(vectors: DataFrame, labels: DataFrame, block: int = 1024) -> DataFrame:
+    """(id, category, label, similarity) of every vector with every label, in blocks.
 
-def score_all(vectors: DataFrame, small: DataFrame, max_labels: int = 4096) -> DataFrame:
-    """Every vector against every row of a label table whose size is checked before it is sent to all tasks."""
+    Each block of labels is gathered into one row of bounded size; the rows of the vector table meet the blocks on the block
+    number, so any number of labels works and neither table is held whole.
+    """
     from ..functions.scores import cosine
-    packed = small.limit(max_labels + 1).agg(F.collect_list(F.struct(*small.columns)).alias("labels"))
-    checked = packed.select(F.when(F.size("labels") <= max_labels, F.col("labels")).otherwise(
-        F.raise_error(F.lit(f"label table over {max_labels} rows"))).alias("labels"))
-    one = F.lit(1).alias("_k")
-    each = vectors.select("*", one).join(F.broadcast(checked.select("*", one)), "_k").withColumn("l", F.explode("labels")).drop("labels", "_k")
-    return each.withColumn("similarity", cosine(F.col("vector"), F.col("l.label_vector"))).select(
-        "id", "l.category", "l.label", "similarity")
+    blocks = max(1, -(-labels.count() // block))
+    number = F.pmod(F.xxhash64("category", "label"), F.lit(blocks)).cast("int")
+    packed = labels.groupBy(number.alias("_block")).agg(F.collect_list(F.struct("category", "label", "label_vector")).alias("_labels"))
+    each = vectors.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).join(packed, "_block")
+    each = each.select("id", "vector", F.explode("_labels").alias("l"))
+    return each.select("id", "l.category", "l.label", cosine(F.col("vector"), F.col("l.label_vector")).alias("similarity"))

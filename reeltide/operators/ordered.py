@@ -105,18 +105,8 @@ def with_island(df: DataFrame, keys, order: list[str], bucket: Column, starts: C
 
 
 def top_n_per_key(df: DataFrame, keys, order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First n rows per key.
-
-    For n up to 1000 Spark puts a group limit below the shuffle, so a hot key sends at most n rows per task. Above
-    that, hash slices of the key are cut to n first.
-    """
-    keys = _keys(keys)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    if n > 1000:
-        plain = [c for c in df.columns if not _is_map(df, c)]
-        slices = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = (df.withColumn("_slice", F.pmod(F.xxhash64(*plain), F.lit(64)))
-              .withColumn("_r", F.row_number().over(slices)).filter(F.col("_r") <= n).drop("_r", "_slice"))
+    """First n rows per key. Spark puts a group limit below the shuffle, so a hot key sends at most n rows per task."""
+    final = Window.partitionBy(*_keys(keys)).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= n)
 
 

@@ -30,18 +30,33 @@ def recrawl_diff(old: DataFrame, new: DataFrame, tracked: list[str] | None = Non
 
 
 def apply_recrawl(old: DataFrame, new: DataFrame, as_of: str, tracked: list[str] | None = None, key: str = "platform_id") -> DataFrame:
-    """The stored table after the crawl: new values laid over old ones, new records added."""
+    """The stored table after the crawl.
+
+    A changed record takes the new values, status ``reindexing`` and both times; an unchanged one only the crawl time; one
+    that was not fetched stays as it is. New records are added as ``discovered``. All stored columns are kept.
+    """
     fields = _fields(old, new, tracked or L.VIDEO_TRACKED_FIELDS)
-    n = new.select(key, *fields).withColumn("_seen", F.lit(True)).alias("n")
-    j = old.select(key, *fields).withColumn("_known", F.lit(True)).alias("o").join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+    own = ("status", "last_crawled_at", "updated_at")
+    n = new.withColumn("_seen", F.lit(True)).alias("n")
+    j = old.withColumn("_known", F.lit(True)).alias("o").join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     any_change = F.lit(False)
     for f in fields:
         any_change = any_change | _changed(f)
-    known, seen = F.col("o._known").isNotNull(), F.col("n._seen").isNotNull()
-    status = F.when(~known, "discovered").when(seen & any_change, "reindexing").otherwise("indexed")
+    known, seen, now = F.col("o._known").isNotNull(), F.col("n._seen").isNotNull(), F.lit(as_of).cast("timestamp")
+    touched = ~known | (seen & any_change)
+
+    def stored(c, kind):
+        return F.col(f"o.{c}").cast(kind) if c in old.columns else F.lit(None).cast(kind)
+
+    def rest(c):
+        return F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) if c in new.columns else F.col(f"o.{c}")
+
     return j.select(
-        F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[F.coalesce(f"n.{f}", f"o.{f}").alias(f) for f in fields], status.alias("status"),
-        F.when(seen, F.lit(as_of).cast("timestamp")).alias("last_crawled_at"))
+        F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[F.coalesce(f"n.{f}", f"o.{f}").alias(f) for f in fields],
+        *[rest(c).alias(c) for c in old.columns if c not in (key, *fields, *own)],
+        F.when(~known, "discovered").when(seen & any_change, "reindexing").otherwise(stored("status", "string")).alias("status"),
+        F.when(seen, now).otherwise(stored("last_crawled_at", "timestamp")).alias("last_crawled_at"),
+        F.when(touched, now).otherwise(stored("updated_at", "timestamp")).alias("updated_at"))
 
 
 def recrawl_comments(old: DataFrame, new: DataFrame) -> DataFrame:

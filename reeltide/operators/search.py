@@ -113,15 +113,20 @@ def add_entity_overlap(entries: DataFrame, query_entities: DataFrame, video_enti
 
 
 def query_entities(queries: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
-    """Dictionary entities named in a query. Word n-grams of the query are looked up, so the dictionary is not broadcast."""
-    w = queries.select("query_id", F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("w"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), _gram(n)) for n in (1, 2, 3)]
-    g = w.select("query_id", F.explode(F.array_distinct(F.concat(*grams))).alias("entity"))
-    return g.join(entities.select(F.col("canonical_name").alias("entity")).distinct(), "entity", "left_semi").select("query_id", "entity")
+    """Dictionary entities contained in the lower-cased query.
+
+    Names are joined on their first three characters with the three-character pieces of the query (shorter names on
+    shorter pieces) and then searched for whole, so neither table is broadcast and names of any length are found.
+    """
+    low = queries.select("query_id", F.lower(F.col(text)).alias("low")).filter("low is not null and low <> ''")
+    pieces = [F.transform(F.sequence(F.lit(1), F.length("low")), _piece(n)) for n in (1, 2, 3)]
+    q = low.withColumn("head", F.explode(F.array_distinct(F.concat(*pieces))))
+    names = entities.select(F.col("canonical_name").alias("entity")).filter("entity <> ''").distinct().withColumn("head", F.substring("entity", 1, 3))
+    return q.join(names, "head").filter(F.contains(F.col("low"), F.col("entity"))).select("query_id", "entity").distinct()
 
 
-def _gram(n):
-    return lambda i: F.array_join(F.slice("w", i, n), " ")
+def _piece(n: int):
+    return lambda i: F.substring(F.col("low"), i, F.lit(n))
 
 
 def near_audio(entries: DataFrame, audio: DataFrame) -> DataFrame:
@@ -215,6 +220,9 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], filters: dict | Non
     """Result page of every query. Filters are applied before the vector scan, those on videos through a semi join."""
     from .filters import search_filter
     tables = dict(tables)
+    for f in filters or {}:
+        if not any(_applies(f, tables[name]) for name in ("segments", "frames", "comments", "videos")):
+            raise ValueError(f"no table has the column of filter {f}")
     for name in ("segments", "frames", "comments"):
         here = {f: v for f, v in (filters or {}).items() if _applies(f, tables[name])}
         tables[name] = search_filter(tables[name], **here)
@@ -239,6 +247,7 @@ def page_of_results(entries: DataFrame, page: int = 1, size: int = 20) -> DataFr
 
 
 def explanation() -> Column:
+    """The sentences are result values and fixed."""
     said = F.concat_ws(
         " | ",
         F.when(F.col("text_semantic") > 0.3, F.format_string("Transcript semantically matches your query (score: %.2f)", "text_semantic")),

@@ -36,8 +36,13 @@ def resolve_chains(nodes: DataFrame, key: str, parent: str, known: DataFrame | N
     return found.select(F.col("key").alias(key), F.col("at").alias("root"), F.col("dist").alias("depth"))
 
 
-def ancestor_closure(nodes: DataFrame, key: str = "id", parent: str = "parent_comment_id", max_distance: int = 20) -> DataFrame:
-    """(descendant, ancestor, distance): at most ``max_distance`` rows per node."""
+def ancestor_closure(nodes: DataFrame, key: str = "id", parent: str = "parent_comment_id", max_distance: int | None = None) -> DataFrame:
+    """(descendant, ancestor, distance): all ancestors of every node, or those within ``max_distance``.
+
+    The number of nodes bounds the distance, so nodes in a cycle meet themselves rather than go on for ever.
+    """
+    if max_distance is None:
+        max_distance = nodes.count()
     base = nodes.filter(F.col(parent).isNotNull()).join(
         nodes.select(F.col(key).alias(parent)), parent, "left_semi")
     closure = cut_lineage(base.select(

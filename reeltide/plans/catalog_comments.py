@@ -10,7 +10,6 @@ from ..sources import adapters as A
 from .models_sql import clip, r, raw_words, sql, words
 
 TOPICS = ["technology", "science", "gaming", "music", "sports"]
-FIRST_HALF = 50
 
 
 def with_entities(spark, d):
@@ -142,7 +141,7 @@ ORACLE = {
         count(*) OVER (PARTITION BY root_thread_id) AS total_comments, max(depth_level) OVER (PARTITION BY root_thread_id) AS max_depth FROM comments"""),
     "descendants": sql("comments", """SELECT ancestor AS comment_id, descendant AS reply_id, distance, author_id, timestamp_posted
         FROM cl JOIN comments c ON c.id=cl.descendant WHERE ancestor%100=0""", CLOSURE),
-    "parent_chain": sql("comments", """SELECT descendant AS comment_id, ancestor AS ancestor_id, distance, author_id FROM cl JOIN comments c ON c.id=cl.ancestor
+    "parent_chain": sql("comments", """SELECT descendant AS comment_id, ancestor AS ancestor_id, distance, author_id, text FROM cl JOIN comments c ON c.id=cl.ancestor
         WHERE descendant NOT IN (SELECT parent_comment_id FROM comments WHERE parent_comment_id IS NOT NULL)""", CLOSURE),
     "ancestor_closure": sql("comments", "SELECT * FROM cl", CLOSURE),
     "most_branched": sql("comments", """SELECT * FROM (SELECT video_id, p.id, depth_level, child_count,

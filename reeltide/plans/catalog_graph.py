@@ -22,7 +22,7 @@ def positions(s, d):
 
 
 def co_edges(s, d):
-    e = G.co_occurrence(positions(s, d), 5).filter("sources >= 2")
+    e = G.co_occurrence(positions(s, d), 5)
     return e.select(F.col("a").cast("string").alias("source"), F.col("b").cast("string").alias("target"), F.lit("CO_OCCURS_WITH").alias("edge_type"),
                     F.col("count").cast("double").alias("weight"))
 
@@ -32,7 +32,7 @@ SNAP_TYPES = ["Channel", "Entity", "Topic"]
 QUERIES = {
     "build_nodes": lambda s, d: G.build_nodes({
         "Video": (A.videos(s, d), "id", "title"), "Channel": (A.channels(s, d), "id", "name"),
-        "Comment": (A.comments(s, d), "id", "text"), "CommentAuthor": (A.comments(s, d), "author_id", "author_id")}).drop("label"),
+        "Comment": (A.comments(s, d), "id", "text"), "CommentAuthor": (A.comments(s, d), "author_id", "author_id")}),
     "build_edges": lambda s, d: G.build_edges(A.comments(s, d), A.videos(s, d), mention_rows(s, d)),
     "counted_edges": lambda s, d: G.counted_edges(A.comments(s, d), comment_mentions(s, d)),
     "co_occurrence": lambda s, d: G.co_occurrence(positions(s, d), 5),
@@ -48,10 +48,18 @@ QUERIES = {
     "clustering_betweenness": lambda s, d: G.clustering_betweenness(nodes(s, d), mesh(s, d)),
     "reciprocity_imbalance": lambda s, d: G.reciprocity_imbalance(nodes(s, d), graph_edges(s, d)),
     "graph_intelligence": lambda s, d: G.graph_intelligence(nodes(s, d), graph_edges(s, d)),
-    "communities": lambda s, d: G.communities(graph_edges(s, d)),
+    "communities": lambda s, d: G.communities(family(s, d)),
+    "ego_graph_edges": lambda s, d: G.ego_graph(nodes(s, d), graph_edges(s, d), "s3", 2, 1000000)[1],
+    "entity_network_edges": lambda s, d: G.entity_network(co_edges(s, d), "5", 2)[1],
 }
 
 
+def family(s, d):
+    """Documents tied to the ones their id divides into: trees of very different size and depth up to the logarithm."""
+    t = A.table(s, d, "documents").filter("doc_id > 0 and doc_id % 7 <> 3")
+    return t.select(F.col("doc_id").alias("source"), F.floor(F.col("doc_id") / 2).cast("long").alias("target"))
+
+
 def snapshot(s, d):
     """Size of the sample and of its inner edges; which nodes are drawn is a hash order."""
     n, e, t = G.graph_snapshot(nodes(s, d), graph_edges(s, d), SNAP_TYPES, 120)
@@ -62,21 +70,15 @@ def mesh(s, d):
     """The graph with customer to nation and part to nation edges, which close triangles, and a few loops."""
     c = A.table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("s"), F.col("c_nationkey")).alias("target"))
     p = A.table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("s"), F.col("s_nationkey")).alias("target"))
-    return graph_edges(s, d).filter("edge_type <> 'MENTIONS'").select("source", "target").unionByName(c).unionByName(p)
-
-
-def chain_edges(s, d):
-    """Orders of a customer tied to customers of near keys: many components of different size."""
-    o = A.table(s, d, "orders")
-    return o.filter("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 4000).alias("source"), (F.col("o_custkey") * 7 % 4000).alias("target")).filter("source % 5 < 2")
+    return graph_edges(s, d).select("source", "target").unionByName(c).unionByName(p)
 
 
 CM = """cm AS (SELECT lower(trim(w)) AS canonical_name, id AS source_id, author_id, video_id FROM (SELECT id, author_id, video_id,
    unnest(list_distinct(list_filter(list_filter(string_split_regex(text,'\\s+'), lambda w: w<>''), lambda q: length(q)>=8))) AS w FROM comments) WHERE length(trim(w))>=2)"""
 POS = "ps AS (SELECT DISTINCT source_id, entity_id, entity_id%40 AS position FROM mentions)"
 CO = """co AS (SELECT least(x.entity_id,y.entity_id) AS a, greatest(x.entity_id,y.entity_id) AS b, count(*) AS count, count(DISTINCT x.source_id) AS sources FROM ps x JOIN ps y
-   ON x.source_id=y.source_id AND y.position-x.position BETWEEN 0 AND 4 AND x.entity_id<>y.entity_id GROUP BY 1,2)"""
-MESH = """me AS (SELECT source, target FROM edges WHERE edge_type<>'MENTIONS' UNION ALL SELECT 'c' || c_custkey, 's' || c_nationkey FROM customer
+   ON x.source_id=y.source_id AND (y.position-x.position BETWEEN 1 AND 4 OR (y.position=x.position AND x.entity_id<y.entity_id)) AND x.entity_id<>y.entity_id GROUP BY 1,2)"""
+MESH = """me AS (SELECT source, target FROM edges UNION ALL SELECT 'c' || c_custkey, 's' || c_nationkey FROM customer
    UNION ALL SELECT 's' || s_suppkey, 's' || s_nationkey FROM supplier)"""
 PR = """nn AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM nodes), adj AS (SELECT source AS u, target AS w FROM edges UNION ALL SELECT target, source FROM edges),
   od AS (SELECT source AS w, count(*) AS d FROM edges GROUP BY 1), fl AS (SELECT u, w, count(*)/greatest(coalesce(any_value(d),1),1) AS f FROM adj LEFT JOIN od USING (w) GROUP BY 1,2),
@@ -102,8 +104,8 @@ def lk(kind, src, dst, table, where="true"):
 
 
 ORACLE = {
-    "build_nodes": sql("comments videos channels", """SELECT CAST(id AS VARCHAR) AS id, 'Video' AS node_type FROM videos UNION SELECT CAST(id AS VARCHAR), 'Channel' FROM channels
-        UNION SELECT CAST(id AS VARCHAR), 'Comment' FROM comments UNION SELECT author_id, 'CommentAuthor' FROM comments"""),
+    "build_nodes": sql("comments videos channels", """SELECT CAST(id AS VARCHAR) AS id, 'Video' AS node_type, substr(title,1,50) AS label FROM videos UNION SELECT CAST(id AS VARCHAR), 'Channel', substr(name,1,50) FROM channels
+        UNION SELECT CAST(id AS VARCHAR), 'Comment', substr(text,1,50) FROM comments UNION SELECT author_id, 'CommentAuthor', author_id FROM comments"""),
     "build_edges": sql("comments videos", " UNION ".join([lk("WROTE", "author_id", "id", "comments"), lk("ON", "id", "video_id", "comments"), lk("COMMENTED_ON", "author_id", "video_id", "comments"),
         lk("REPLIES_TO", "id", "parent_comment_id", "comments", "parent_comment_id IS NOT NULL"), lk("UPLOADED", "channel_id", "id", "videos"), lk("MENTIONS", "id", "canonical_name", "ment")]), MENT),
     "counted_edges": sql("comments", """SELECT c.author_id AS source, p.author_id AS target, 'REPLIED_TO' AS edge_type, count(*)::DOUBLE AS weight FROM comments c JOIN comments p ON c.parent_comment_id=p.id
@@ -119,8 +121,16 @@ ORACLE = {
         SELECT 's3' AS id, 0::BIGINT AS dist UNION ALL SELECT b, 1 FROM u WHERE a='s3' UNION ALL SELECT y.b, 2 FROM u x JOIN u y ON x.b=y.a WHERE x.a='s3') USING (id) GROUP BY 1,2""",
     "traverse": f"""WITH {EDGES} SELECT origin, id, min(dist) AS distance FROM (SELECT 'n' || n_nationkey AS origin, 'n' || n_nationkey AS id, 0::BIGINT AS dist FROM nation
         UNION ALL SELECT source, target, 1 FROM edges WHERE source[1]='n' UNION ALL SELECT x.source, y.target, 2 FROM edges x JOIN edges y ON x.target=y.source WHERE x.source[1]='n') GROUP BY 1,2""",
-    "entity_network": sql("mentions", """SELECT id, min(dist) AS distance FROM (SELECT b AS id, 1::BIGINT AS dist FROM co WHERE sources>=2 AND a=5 UNION ALL
-        SELECT y.b, 2 FROM co x JOIN co y ON x.b=y.a WHERE x.a=5 AND x.sources>=2 AND y.sources>=2) GROUP BY 1""".replace("SELECT id, min", "SELECT CAST(id AS VARCHAR) AS id, min"), POS, CO),
+    "entity_network": sql("mentions", """SELECT id, min(dist) AS distance FROM (SELECT b AS id, 1::BIGINT AS dist FROM co WHERE a=5 UNION ALL
+        SELECT y.b, 2 FROM co x JOIN co y ON x.b=y.a WHERE x.a=5) GROUP BY 1""".replace("SELECT id, min", "SELECT CAST(id AS VARCHAR) AS id, min"), POS, CO),
+    "communities": """WITH RECURSIVE fam AS (SELECT doc_id AS s, doc_id//2 AS t FROM documents WHERE doc_id>0 AND doc_id%7<>3), up AS (SELECT s AS id, t AS top FROM fam
+        UNION ALL SELECT up.id, fam.t FROM up JOIN fam ON fam.s=up.top), ids AS (SELECT s AS id FROM fam UNION SELECT t FROM fam)
+        SELECT ids.id, coalesce(min(top), ids.id) AS community_id FROM ids LEFT JOIN up USING (id) GROUP BY ids.id""",
+    "ego_graph_edges": f"""WITH {NODES}, {EDGES}, u AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
+        k AS (SELECT id FROM nodes WHERE id IN (SELECT 's3' UNION SELECT b FROM u WHERE a='s3' UNION SELECT y.b FROM u x JOIN u y ON x.b=y.a WHERE x.a='s3'))
+        SELECT * FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)""",
+    "entity_network_edges": sql("mentions", """SELECT CAST(a AS VARCHAR) AS source, CAST(b AS VARCHAR) AS target, 'CO_OCCURS_WITH' AS edge_type, count::DOUBLE AS weight FROM co
+        WHERE a IN (SELECT id FROM k) AND b IN (SELECT id FROM k)""", POS, CO, "k AS (SELECT 5 AS id UNION SELECT b FROM co WHERE a=5 UNION SELECT y.b FROM co x JOIN co y ON x.b=y.a WHERE x.a=5)"),
     "topic_timeline": sql("comments", "SELECT CAST(ts AS DATE) AS day, count(*) AS mentions FROM ment WHERE contains(canonical_name,'tion') GROUP BY 1", MENT),
     "pagerank": f"WITH {NODES}, {EDGES}, {PR} SELECT id, {r('r/max(r) OVER ()', 4)} AS influence_centrality FROM p10",
     "clustering_betweenness": f"WITH {NODES}, {EDGES}, {MESH}, {clustering('me')} SELECT id, degree, {r('coalesce(cl,0)', 4)} AS clustering, {BETWEEN} AS betweenness_centrality, {BRIDGE} AS is_bridge_node FROM cb",

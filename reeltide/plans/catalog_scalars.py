@@ -37,7 +37,7 @@ def spammy(s, d):
     """Comments prefixed by one of a few advertising forms, some of them short."""
     form = F.element_at(F.array(*[F.lit(x) for x in SPAM_FORMS]), (F.col("id") % len(SPAM_FORMS) + 1).cast("int"))
     c = A.comments(s, d)
-    return c.select("id", F.concat(form, F.when(F.col("id") % 3 == 0, F.col("text")).otherwise("")).alias("t"), "like_count")
+    return c.select("id", F.concat(form, F.col("text")).alias("t"), "like_count")
 
 
 SPAM_FORMS = ["", "sub", "Subscribe now ", "check out my http://a.b http://c.d ", "FREE gift FREE GIFT ", "wooooooooooow ", "WHY WHY WHY??!!!! ", "hi! ",
@@ -45,7 +45,8 @@ SPAM_FORMS = ["", "sub", "Subscribe now ", "check out my http://a.b http://c.d "
 
 
 def spans(s, d):
-    t = F.when(F.col("id") % 4 == 0, F.repeat(F.substring("text", 1, 12), 5)).when(F.col("id") % 4 == 1, F.concat(F.repeat(F.lit("yes "), 9), F.lit("no")))
+    """Whole segment texts, with a repeated opening, a repeated word or fillers added to three quarters of them."""
+    t = F.when(F.col("id") % 4 == 0, F.concat(F.repeat(F.substring("text", 1, 12), 5), F.lit(" "), "text")).when(F.col("id") % 4 == 1, F.concat(F.col("text"), F.lit(" "), F.repeat(F.lit("yes "), 9), F.lit("no")))
     t = t.when(F.col("id") % 4 == 2, F.concat(F.lit("Um like "), "text")).otherwise(F.col("text"))
     return A.segments(s, d).select("id", t.alias("t"), "start_time", F.when(F.col("id") % 9 == 0, F.col("start_time") - 1).otherwise(F.col("end_time")).alias("end_time"))
 
@@ -103,10 +104,10 @@ QUERIES = {
 LINKS = "links AS (SELECT page_id, [" + ",".join(f"'{x}'" for x in STEMS) + f"][page_id%{len(STEMS)}+1] || page_id || CASE WHEN page_id%5=0 THEN '/' ELSE '' END AS link FROM pages)"
 PLATFORM = "CASE " + " ".join(f"WHEN regexp_matches(lower(link), '{p}') THEN '{n}'" for n, p in U.PLATFORM_PATTERNS.items()) + " ELSE 'other' END"
 PLAT = f"pl AS (SELECT *, {PLATFORM} AS platform FROM links)"
-SPAMMY = "sp AS (SELECT id, [" + ",".join(f"'{x}'" for x in SPAM_FORMS) + f"][id%{len(SPAM_FORMS)}+1] || CASE WHEN id%3=0 THEN text ELSE '' END AS text, like_count FROM comments)"
+SPAMMY = "sp AS (SELECT id, [" + ",".join(f"'{x}'" for x in SPAM_FORMS) + f"][id%{len(SPAM_FORMS)}+1] || text AS text, like_count FROM comments)"
 QUOTED = """qt AS (SELECT conv_id*100+turn AS id, text || ' At ' || turn || ' minutes, ' || (conv_id%60) || ':' || lpad(CAST(turn*7%60 AS VARCHAR),2,'0')
    || ' then 1:' || lpad(CAST(turn*7%60 AS VARCHAR),2,'0') || ':45 and ' || (turn*3) || ' seconds, 1,234.5' AS text FROM conversations)"""
-SPANS = """spn AS (SELECT id, CASE id%4 WHEN 0 THEN repeat(substr(text,1,12),5) WHEN 1 THEN repeat('yes ',9) || 'no' WHEN 2 THEN 'Um like ' || text ELSE text END AS t,
+SPANS = """spn AS (SELECT id, CASE id%4 WHEN 0 THEN repeat(substr(text,1,12),5) || ' ' || text WHEN 1 THEN text || ' ' || repeat('yes ',9) || 'no' WHEN 2 THEN 'Um like ' || text ELSE text END AS t,
    start_time, CASE WHEN id%9=0 THEN start_time-1 ELSE end_time END AS end_time FROM segments)"""
 
 
@@ -129,9 +130,12 @@ def canonical_sql():
 
 TC = "CAST(floor(page_id*37.7::DOUBLE) AS BIGINT)"
 MARK = "CASE WHEN contains(link,'?') THEN '&t=' ELSE '?t=' END"
+# a run of 10 or more characters written four times in a row: its first ten characters stand again one run later
+LOOPS = """gr AS (SELECT id, t, i, substr(t,i,10) AS g FROM (SELECT id, t, unnest(range(1, length(t)-8)) AS i FROM {0} WHERE length(t)>=40)),
+  lo AS (SELECT DISTINCT a.id FROM gr a JOIN gr b ON a.id=b.id AND a.g=b.g AND b.i>=a.i+10 AND a.i+4*(b.i-a.i)-1<=length(a.t)
+    WHERE substr(a.t,a.i,3*(b.i-a.i))=substr(a.t,b.i,3*(b.i-a.i)) AND NOT contains(substr(a.t,a.i,4*(b.i-a.i)), chr(10)))"""
 LOOPED = "(" + " OR ".join([
-    # a run of 10 or more characters written four times in a row
-    "len(list_filter(range(1, length(t)+1), lambda i: len(list_filter(range(10, (length(t)-i+1)//4+1), lambda k: NOT contains(substr(t,i,4*k), chr(10)) AND substr(t,i,4*k)=repeat(substr(t,i,k),4)))>0))>0",
+    "id IN (SELECT id FROM lo)",
     r"regexp_matches(t,'(?i)(thank you\.?\s*){4,}')", r"regexp_matches(t,'(?i)(please subscribe\.?\s*){3,}')",
     r"regexp_matches(t,'(?i)(music\.?\s*){5,}')", r"regexp_matches(t,'(\.\.\.){5,}')"]) + ")"
 
@@ -177,8 +181,8 @@ ORACLE = {
     "entity_type_map": sql("comments", """SELECT id, ['person','organization','location','location','product','event','concept','location','organization','concept','concept'][id%11+1] AS kind FROM comments"""),
     "clean_filler": sql("segments", f"SELECT id, array_to_string(list_filter({raw_words('t')}, lambda w: lower(w) NOT IN {in_list(ASR_FILLERS)}),' ') AS t FROM spn", SPANS),
     "is_hallucination": sql("segments", f"""SELECT id, t='' OR rep OR (n>5 AND top/n>0.6) OR end_time<start_time AS bad FROM (SELECT id, start_time, end_time, t,
-        {LOOPED} AS rep, len(w) AS n, coalesce(list_max(map_values(list_histogram(w))),0) AS top FROM (SELECT id, start_time, end_time, trim(t) AS t, {words('t')} AS w FROM spn))""".replace(
-            "list_max(map_values(list_histogram(w)))", "list_max(list_transform(list_distinct(w), lambda a: len(list_filter(w, lambda b: b=a))))"), SPANS),
+        {LOOPED} AS rep, len(w) AS n, coalesce(list_max(list_transform(list_distinct(w), lambda a: len(list_filter(w, lambda b: b=a)))),0) AS top FROM (SELECT *, {words('t')} AS w FROM tx))""",
+        SPANS, "tx AS (SELECT id, start_time, end_time, trim(t) AS t FROM spn)", LOOPS.format("tx")),
     "crawl_priority": sql("videos channels", f"""SELECT v.id, {r('''greatest(0, log10(greatest(view_count,1)) + greatest(0, 100-date_diff('day', CAST(uploaded_at AS DATE), DATE '2001-08-02'))*0.5
         - CASE WHEN duration_seconds<>0 AND (duration_seconds<5 OR duration_seconds>14400) THEN 20 WHEN duration_seconds>3600 THEN 5 ELSE 0 END
         + ''' + '+'.join(f"CASE WHEN contains(lower(title || CASE WHEN v.id%2=0 THEN ' Tutorial: how to REVIEW' ELSE '' END), '{k}') THEN {b} ELSE 0 END" for k, b in PRIORITY_RULES['keyword_boosts'].items())

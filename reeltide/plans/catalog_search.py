@@ -12,19 +12,27 @@ from .models_sql import in_list, r, sql
 NAMES = ["music", "the", "and", "loud", "fast"]
 
 
+def documents_with_vectors(s, d):
+    """All documents; the vectors are handed round, as there are fewer of them."""
+    v = A.vectors(s, d)
+    t = A.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % v.count()).alias("_v"))
+    return t.join(v.withColumnRenamed("id", "_v"), "_v").drop("_v")
+
+
 def corpus(s, d):
-    """Embeddings as evidence: a quarter frames, a quarter comments, the rest transcript, ten to a video."""
-    v, t = A.vectors(s, d), A.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    """Documents as evidence: a quarter frames, a quarter comments, the rest transcript, ten to a video."""
     i = F.col("id")
-    return v.join(t, "id").select(
+    return documents_with_vectors(s, d).select(
         "id", "vector", (i % 4).alias("kind"), F.floor(i / 10).cast("long").alias("video_id"), (i % 10 * 7.0).alias("timestamp"), (i % 10 * 7.0 + 15.0).alias("end_time"),
         "text", i.cast("string").alias("ocr_text"), (i % 10 / 10).alias("confidence"), ((i * 31 % 21 - 10) / 10).alias("sentiment_score"),
         F.concat(F.lit("a"), i % 7).alias("author_id"), F.array((i % 70).cast("double")).alias("ts_seconds"), F.array(F.concat(F.lit("tag"), i % 5)).alias("visual_tags"), "collection")
 
 
 def questions(s, d):
-    v = A.query_vectors(s, d).withColumn("item_id", F.floor(F.col("query_id") / 50).cast("long") % 40)
-    return v.join(A.table(s, d, "benchmark"), "item_id").select("query_id", "vector", F.concat(F.lit("loud music fast playing "), F.col("query_id"), F.lit(" "), "text").alias("text"))
+    """Every benchmark item as a query, with a vector of its own."""
+    v = A.vectors(s, d)
+    b = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") * 7 % v.count()).alias("id"))
+    return b.join(v.select("id", "vector"), "id").select("query_id", "vector", F.concat(F.lit("loud music fast playing "), F.col("query_id"), F.lit(" "), "text").alias("text"))
 
 
 def natural(s, d):
@@ -76,7 +84,8 @@ QUERIES = {
     "vector_topk": lambda s, d: V.vector_topk(A.vectors(s, d), A.query_vectors(s, d), 20).withColumn("score", F.floor(F.col("score") * 1e4 + 0.5)),
     "vector_topk_filtered": lambda s, d: V.vector_topk(A.vectors(s, d).filter("collection < 5"), A.query_vectors(s, d), 10).select("query_id", "id", "rank"),
     "collection_stats": lambda s, d: V.collection_stats(A.vectors(s, d)),
-    "near_duplicates": lambda s, d: V.near_duplicates(doubled(s, d), 0.98).select("a", "b"),
+    "near_duplicates": lambda s, d: V.near_duplicates(doubled(s, d), 0.98),
+    "vector_topk_blocks": lambda s, d: V.vector_topk(A.vectors(s, d), A.vectors(s, d).withColumnRenamed("id", "query_id"), 5, block=64, slice_rows=300).select("query_id", "id", "rank"),
     "zero_shot_labels": lambda s, d: V.zero_shot_labels(A.vectors(s, d), label_vectors(s, d), top_k=3, scale=5.0).select("id", "category", "label", F.col("rank").cast("long").alias("rank")),
     "decompose_query": lambda s, d: S.decompose_query(natural(s, d)).select(
         "query_id", "emotion", "time_era", "context", *[F.array_join(c, "|").alias(c) for c in ("numbers", "actions", "objects", "keywords")]),
@@ -129,9 +138,9 @@ def decompose(source):
 
 
 W = FUSION_WEIGHTS
-ENTRIES = ", ".join([f"""cp AS (SELECT v.id, vector, v.id%4 AS kind, v.id//10 AS video_id, v.id%10*7.0::DOUBLE AS timestamp, v.id%10*7.0::DOUBLE+15 AS end_time, text, CAST(v.id AS VARCHAR) AS ocr,
-    (v.id%10)/10 AS confidence, (v.id*31%21-10)/10 AS sentiment, 'a' || (v.id%7) AS author_id, (v.id%70)::DOUBLE AS tss, collection FROM vectors v JOIN documents ON doc_id=v.id)""",
-    "qs AS (SELECT v.id AS query_id, vector, 'loud music fast playing ' || v.id || ' ' || b.text AS text FROM vectors v JOIN benchmark b ON b.item_id=(v.id//50)%40 WHERE v.id%50=0)",
+ENTRIES = ", ".join([f"""cp AS (SELECT d.doc_id AS id, vector, d.doc_id%4 AS kind, d.doc_id//10 AS video_id, d.doc_id%10*7.0::DOUBLE AS timestamp, d.doc_id%10*7.0::DOUBLE+15 AS end_time, text, CAST(d.doc_id AS VARCHAR) AS ocr,
+    (d.doc_id%10)/10 AS confidence, (d.doc_id*31%21-10)/10 AS sentiment, 'a' || (d.doc_id%7) AS author_id, (d.doc_id%70)::DOUBLE AS tss, collection FROM documents d JOIN vectors v ON v.id=d.doc_id%(SELECT count(*) FROM vectors))""",
+    "qs AS (SELECT b.item_id AS query_id, vector, 'loud music fast playing ' || b.item_id || ' ' || b.text AS text FROM benchmark b JOIN vectors v ON v.id=b.item_id*7%(SELECT count(*) FROM vectors))",
     decompose("qs"),
     f"""ht AS (SELECT query_id, cp.*, CASE WHEN kind<2 THEN 0 ELSE kind END AS part, {score6('cp.vector', 'qs.vector')} AS score FROM cp CROSS JOIN qs),
   hk AS (SELECT * FROM ht QUALIFY row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, id)<=200),
@@ -145,7 +154,7 @@ ENTRIES = ", ".join([f"""cp AS (SELECT v.id, vector, v.id%4 AS kind, v.id//10 AS
     FROM en JOIN de USING (query_id)),
   cm AS (SELECT query_id, video_id, max(score) AS cs, (max({{'s': score, 'o': -id, 't': tss}})).t AS bt, count(*) AS cn, var_samp(sentiment) AS cv, count(DISTINCT author_id) AS ca FROM hb WHERE part=3 GROUP BY 1,2),
   ve AS (SELECT DISTINCT video_id, ['music','the','and','loud','fast'][collection%5+1] AS entity FROM cp),
-  qe AS (SELECT DISTINCT query_id, entity FROM (SELECT query_id, unnest(list_filter(string_split_regex(lower(text),'[^\\p{{L}}\\p{{N}}]+'), lambda x: x<>'')) AS entity FROM qs) WHERE entity IN (SELECT entity FROM ve)),
+  qe AS (SELECT DISTINCT query_id, entity FROM qs JOIN (SELECT DISTINCT entity FROM ve) ON contains(lower(text), entity)),
   eo AS (SELECT query_id, video_id, count(*)/any_value(n) AS entity_overlap FROM qe JOIN ve USING (entity) JOIN (SELECT query_id, count(*) AS n FROM qe GROUP BY 1) USING (query_id) GROUP BY 1,2),
   an AS (SELECT query_id, e2.video_id, bucket, a.* EXCLUDE (video_id), objects, actions, ql FROM e2 JOIN audio_windows a ON a.video_id=e2.video_id AND a.start_time<=timestamp+10 AND a.end_time>=timestamp-5),
   af AS (SELECT query_id, e2.video_id, bucket, a.* EXCLUDE (video_id, rk), objects, actions, ql FROM e2 JOIN (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_time, id) AS rk FROM audio_windows) a
@@ -173,11 +182,14 @@ ORACLE = {
     "vector_topk": sql("vectors", """SELECT query_id, id, CAST(floor(score*1e4+0.5) AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM tk QUALIFY rank<=20""", TOPK),
     "vector_topk_filtered": sql("vectors", """SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM tk WHERE collection<5 QUALIFY rank<=10""", TOPK),
     "collection_stats": sql("vectors", "SELECT collection, count(*) AS vectors, CAST(max(len(vector)) AS BIGINT) AS dim FROM vectors GROUP BY 1"),
-    "near_duplicates": sql("vectors", f"""SELECT min(id) OVER (PARTITION BY vector) AS a, id AS b FROM al QUALIFY id<>a
-        UNION ALL SELECT x.id, y.id FROM rp x JOIN rp y ON x.id<y.id AND {r(cos('x.vector', 'y.vector'), 6)}>=0.98""",
+    "vector_topk_blocks": sql("vectors", f"""SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+        SELECT q.id AS query_id, c.id, {score6('c.vector', 'q.vector')} AS score FROM vectors c CROSS JOIN vectors q) QUALIFY rank<=5"""),
+    "near_duplicates": sql("vectors", """SELECT al.id, min(least(reach.y, rp.id)) AS component_id FROM al JOIN rp USING (vector) JOIN reach ON reach.x=rp.id GROUP BY 1""",
         """al AS (SELECT id, vector FROM vectors UNION ALL SELECT id+1000000, vector FROM vectors UNION ALL SELECT id+2000000,
           list_transform(vector, lambda x, i: CASE WHEN i=1 THEN (x+0.05::FLOAT)::FLOAT ELSE x END) FROM vectors)""",
-        "rp AS (SELECT min(id) AS id, vector FROM al GROUP BY vector)"),
+        "rp AS (SELECT min(id) AS id, vector FROM al GROUP BY vector)",
+        f"pr AS (SELECT x.id AS a, y.id AS b FROM rp x JOIN rp y ON x.id<>y.id AND {r(cos('x.vector', 'y.vector'), 6)}>=0.98)",
+        "reach AS (SELECT id AS x, id AS y FROM rp UNION SELECT reach.x, pr.b FROM reach JOIN pr ON pr.a=reach.y)"),
     "zero_shot_labels": sql("vectors", f"""SELECT id, category, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY id, category ORDER BY confidence DESC, label) AS rank FROM (
         SELECT id, category, label, {r('exp(s*5)/sum(exp(s*5)) OVER (PARTITION BY id, category)', 4)} AS confidence FROM (SELECT v.id, category, label, {cos('v.vector', 'l.lv')} AS s FROM vectors v CROSS JOIN lb l)))
         WHERE rank<=3 AND confidence>=0.06""",

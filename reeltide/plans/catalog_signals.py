@@ -100,7 +100,8 @@ def asked(s, d):
 
 
 def answered(s, d):
-    return A.mentions(s, d).filter("position = 2").select("channel_id", "entity_id", "ts")
+    """Uploads of the channel that take up the entity: every line of an even order."""
+    return A.mentions(s, d).filter("source_id % 2 = 0").select("channel_id", "entity_id", "ts")
 
 
 def signal_tables(s, d):
@@ -118,10 +119,19 @@ def all_counts(s, d):
 
 OLD_NEW = A.snapshots
 
+
+def stored(s, d):
+    """The old snapshot with a column that no crawl brings, a status and times."""
+    k = F.col("platform_id")
+    at = F.timestamp_seconds(F.lit(1600000000) + k)
+    return OLD_NEW(s, d)[0].select("*", F.concat(F.lit("note "), k).alias("note"), F.when(k % 3 == 0, "queued").otherwise("indexed").alias("status"), at.alias("last_crawled_at"), at.alias("updated_at"))
+
+
+
 QUERIES = {
     "recrawl_diff": lambda s, d: R.recrawl_diff(*OLD_NEW(s, d)).select("platform_id", "status", F.array_join("fields_changed", ",").alias("fields"), "title_changed", "description_changed",
                                                                      F.array_join(F.transform("delta", lambda x: F.concat(F.coalesce(x["old"], F.lit("?")), F.lit(">"), x["new"])), ",").alias("delta")),
-    "apply_recrawl": lambda s, d: R.apply_recrawl(*OLD_NEW(s, d), "2024-02-01"),
+    "apply_recrawl": lambda s, d: R.apply_recrawl(stored(s, d), OLD_NEW(s, d)[1], "2024-02-01"),
     "recrawl_comments": lambda s, d: R.recrawl_comments(A.comments(s, d).filter("id % 5 <> 2"), thinned(s, d)),
     "recrawl_history": lambda s, d: R.recrawl_history(recrawl_events(s, d)).select("id", "trigger", "video_id", "recrawled_at"),
     "cursor_heatmap_cells": lambda s, d: S.cursor_heatmap(pointers(s, d), 120.0)[0],
@@ -154,7 +164,7 @@ QUERIES = {
                                                                        S.topic_gestation(asked(s, d), answered(s, d)), channel_id=2)["commenter_migrations"],
     "video_signal_counts": lambda s, d: L.signal_counts(signal_tables(s, d)),
     "video_signals": lambda s, d: L.unified_signals(signal_tables(s, d)).groupBy("signal", "video_id").agg(F.count(F.lit(1)).alias("n")),
-    "channel_signals": lambda s, d: L.channel_signals({k: v for k, v in signal_tables(s, d).items() if k in ("upload_patterns", "sponsor_segments")}, A.videos(s, d), 7).groupBy("signal").agg(F.count(F.lit(1)).alias("n")),
+    "channel_signals": lambda s, d: L.channel_signals({**signal_tables(s, d), "entity_propagations": S.propagation_summary(A.mentions(s, d))}, A.videos(s, d), 2).groupBy("signal").agg(F.count(F.lit(1)).alias("n")),
     "signal_stats": lambda s, d: G.signal_stats(all_counts(s, d)),
 }
 
@@ -202,8 +212,10 @@ ORACLE = {
         array_to_string(list_filter([{', '.join(f"CASE WHEN {CH.format(f)} THEN '{f}' END" for f in FIELDS)}], lambda x: x IS NOT NULL),',') AS fields, {CH.format('title')} AS title_changed, {CH.format('description')} AS description_changed,
         array_to_string(list_filter([{', '.join(f"CASE WHEN {CH.format(f)} THEN coalesce(CAST(o.{f} AS VARCHAR),'?') || '>' || n.{f} END" for f in FIELDS)}], lambda x: x IS NOT NULL),',') AS delta
         FROM snap_new n LEFT JOIN snap_old o USING (platform_id)"""),
-    "apply_recrawl": sql("snap_old snap_new", f"""SELECT platform_id, {', '.join(f'coalesce(n.{f}, o.{f}) AS {f}' for f in FIELDS)}, CASE WHEN n.platform_id IS NOT NULL AND ({' OR '.join(CH.format(f) for f in FIELDS)}) THEN 'reindexing' ELSE 'indexed' END AS status,
-        CASE WHEN n.platform_id IS NOT NULL THEN TIMESTAMP '2024-02-01' END AS last_crawled_at FROM snap_old o LEFT JOIN snap_new n USING (platform_id)"""),
+    "apply_recrawl": sql("snap_old snap_new", f"""SELECT platform_id, {', '.join(f'coalesce(n.{f}, o.{f}) AS {f}' for f in FIELDS)}, CASE WHEN n.platform_id IS NOT NULL AND ({' OR '.join(CH.format(f) for f in FIELDS)}) THEN 'reindexing' WHEN platform_id%3=0 THEN 'queued' ELSE 'indexed' END AS status, 'note ' || platform_id AS note,
+        CASE WHEN n.platform_id IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE make_timestamp((1600000000+platform_id)*1000000) END AS last_crawled_at,
+        CASE WHEN n.platform_id IS NOT NULL AND ({' OR '.join(CH.format(f) for f in FIELDS)}) THEN TIMESTAMP '2024-02-01' ELSE make_timestamp((1600000000+platform_id)*1000000) END AS updated_at
+        FROM snap_old o LEFT JOIN snap_new n USING (platform_id)"""),
     "recrawl_comments": sql("comments", """SELECT video_id, count(*) FILTER (WHERE id%5=2 AND id%7<>1) AS comments_added, count(*) FILTER (WHERE id%5<>2 AND id%7=1) AS comments_deleted FROM comments GROUP BY 1
         HAVING count(*) FILTER (WHERE (id%5=2)<>(id%7=1))>0"""),
     "recrawl_history": f"WITH {RECRAWL} SELECT id, trigger, video_id, recrawled_at FROM rc ORDER BY recrawled_at DESC, id LIMIT 50",
@@ -254,12 +266,14 @@ ORACLE = {
         SELECT author_id, channel_id, count(*) AS n FROM comments GROUP BY 1,2) LEFT JOIN (SELECT p.author_id, p.channel_id, count(*) AS k FROM comments c JOIN comments p ON c.parent_comment_id=p.id
           WHERE c.author_id='assistant_' || (p.channel_id%7) GROUP BY 1,2) USING (author_id, channel_id) WHERE author_id<>'assistant_' || (channel_id%7)"""),
     "topic_gestation": sql("mentions", """SELECT channel_id, entity_id, any_value(f) AS first_comment_at, any_value(v) AS first_video_at, any_value(CAST(floor((epoch(v)-epoch(f))/86400) AS BIGINT)) AS gestation_days, count(*) AS mentions_before, bool_or(source_id%5=0) AS audience_requested
-        FROM mentions m JOIN (SELECT channel_id, entity_id, f, min(ts) AS v FROM mentions JOIN (SELECT channel_id, entity_id, min(ts) AS f FROM mentions GROUP BY 1,2) USING (channel_id, entity_id) WHERE position=2 AND ts>f GROUP BY 1,2,3) USING (channel_id, entity_id)
+        FROM mentions m JOIN (SELECT channel_id, entity_id, f, min(ts) AS v FROM mentions JOIN (SELECT channel_id, entity_id, min(ts) AS f FROM mentions GROUP BY 1,2) USING (channel_id, entity_id) WHERE source_id%2=0 AND ts>f GROUP BY 1,2,3) USING (channel_id, entity_id)
         WHERE m.ts<v GROUP BY 1,2"""),
     "signal_records": sql("uploads", "SELECT * FROM upp WHERE channel_id=7 ORDER BY video_id LIMIT 50", UPP.format("uploads")),
     "graph_relational_signals": sql("comments", "SELECT * FROM mig WHERE from_channel=2 OR to_channel=2", MIG),
     "video_signal_counts": sql("segments", VSIG, LINKS, SPON),
     "video_signals": sql("segments", VSIG, LINKS, SPON),
-    "channel_signals": sql("segments videos", """SELECT 'upload_patterns' AS signal, count(*) AS n FROM orders WHERE o_custkey=7 HAVING count(*)>0 UNION ALL SELECT 'sponsor_segments', count(*) FROM sp WHERE video_id IN (SELECT id FROM videos WHERE channel_id=7) HAVING count(*)>0""", SPON),
+    "channel_signals": sql("segments videos comments", """SELECT 'upload_patterns' AS signal, count(*) AS n FROM orders WHERE o_custkey=2 HAVING count(*)>0 UNION ALL SELECT 'sponsor_segments', count(*) FROM sp WHERE video_id IN (SELECT id FROM videos WHERE channel_id=2) HAVING count(*)>0
+        UNION ALL SELECT 'link_health', count(*) FROM lk WHERE video_id IN (SELECT id FROM videos WHERE channel_id=2) HAVING count(*)>0 UNION ALL SELECT 'recrawl_events', count(*) FROM orders WHERE o_custkey IN (SELECT id FROM videos WHERE channel_id=2) HAVING count(*)>0
+        UNION ALL SELECT 'commenter_migrations', count(*) FROM mig WHERE from_channel=2 OR to_channel=2 HAVING count(*)>0""", LINKS, SPON, MIG),
     "signal_stats": sql("segments comments", f"""SELECT coalesce(category,'all') AS category, coalesce(signal,'all') AS signal, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, {CATEGORY} AS category FROM all_counts) GROUP BY ROLLUP(category, signal)""", LINKS, SPON, MIG, COUNTS),
 }

@@ -127,7 +127,8 @@ def q_upsert(s, d):
     v = A.videos(s, d).select("id", "title", "view_count")
     stored = v.filter("id % 3 <> 0").withColumn("updated_at", F.lit("2020-01-01").cast("timestamp"))
     fresh = v.filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, F.upper("title")).alias("title"), (F.col("view_count") + 1).alias("view_count"))
-    return R.upsert(stored, fresh, ["id"], "2024-01-01")
+    fresh = fresh.withColumn("seen", F.lit(2)).unionByName(fresh.withColumns({"view_count": F.col("view_count") - 9, "seen": F.lit(1)}))
+    return R.upsert(stored, fresh, ["id"], "2024-01-01", ["seen"])
 
 
 def q_upsert_vectors(s, d):
@@ -155,7 +156,14 @@ def fit_loss(s, d, target, fit):
     x = A.calibration_samples(s, d).filter(F.col("target") == target)
     got = fit(x)
     return s.createDataFrame([(target, {k: float(v) for k, v in got.items() if isinstance(v, float)})], "target string, params map<string,double>").select(
-        "target", F.explode("params").alias("name", "value"))
+        "target", F.explode("params").alias("name", "value")).select("target", "name", rnd("value", 3).alias("value"))
+
+
+def fitted_values(s, d):
+    """The isotonic fit applied to the scores it was fitted on."""
+    x = A.calibration_samples(s, d).filter("target = 'ocr.confidence'")
+    params = s.createDataFrame([("ocr.confidence", "isotonic", True, 50, None, None, None, *K.fit_isotonic(x).values())], K.PARAMS)
+    return K.calibrate(x, params).select("raw", rnd("calibrated_probability", 4).alias("p")).distinct()
 
 
 def scorer():
@@ -168,8 +176,7 @@ def scorer():
 QUERIES = {
     "fit_platt": lambda s, d: fit_loss(s, d, "audio.pitch_shift", K.fit_platt),
     "fit_temperature": lambda s, d: fit_loss(s, d, "clip.label_confidence", K.fit_temperature),
-    "fit_isotonic": lambda s, d: s.createDataFrame([K.fit_isotonic(A.calibration_samples(s, d).filter("target = 'ocr.confidence'"))], "boundaries array<double>, predictions array<double>").select(
-        F.posexplode(F.arrays_zip("boundaries", "predictions")).alias("i", "p")).select("i", "p.boundaries", "p.predictions"),
+    "fit_isotonic": fitted_values,
     "fit_all": lambda s, d: K.fit_all(A.calibration_samples(s, d)).select("target", "method", "fitted", "samples"),
     "calibration_status": lambda s, d: K.calibration_status(K.fit_all(A.calibration_samples(s, d))),
     "calibrate": lambda s, d: calibrated(s, d).groupBy("target", "raw", "band", "band_label").agg(F.count(F.lit(1)).alias("n"), rnd(F.max("calibrated_probability"), 6).alias("p")),
@@ -209,7 +216,23 @@ CLOSED = "(SELECT max(ts) FROM events)-INTERVAL 10 MINUTE"
 PLAIN = """lg AS (SELECT timestamp_posted AS timestamp, 'COMMENT_ADDED' AS event_type, 'Comment' AS node_type, CAST(id AS VARCHAR) AS node_id, CAST(NULL AS VARCHAR) AS edge_type, CAST(NULL AS VARCHAR) AS source_id, CAST(NULL AS VARCHAR) AS target_id FROM comments
    UNION ALL SELECT timestamp_posted, 'COMMENT_LINKED', NULL, NULL, 'REPLIES_TO', CAST(id AS VARCHAR), CAST(parent_comment_id AS VARCHAR) FROM comments WHERE parent_comment_id IS NOT NULL)"""
 
+COND = "cd AS (SELECT least(n_chars/4000,1.0)::DOUBLE AS x, count(*)::DOUBLE AS n, sum({truth})::DOUBLE AS pos FROM labels JOIN documents USING (doc_id) GROUP BY 1)"
+# logistic fit by Newton steps
+NEWTON = "nw0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b), " + ", ".join(
+    f"""ns{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum((pos-n*p)*x) AS ga, sum(pos-n*p) AS gb, sum(n*p*(1-p)*x*x) AS haa, sum(n*p*(1-p)*x) AS hab, sum(n*p*(1-p)) AS hbb FROM (SELECT *, 1/(1+exp(-(a*x+b))) AS p FROM cd, nw{i})),
+  nw{i + 1} AS (SELECT a+(hbb*ga-hab*gb)/(haa*hbb-hab*hab) AS a, b+(haa*gb-hab*ga)/(haa*hbb-hab*hab) AS b FROM ns{i})""" for i in range(15))
+# five grids of 41 temperatures, each around the best of the one before
+GRIDS = "tb0 AS (SELECT 0.01::DOUBLE AS lo, 10.0::DOUBLE AS hi, 1.0::DOUBLE AS best), " + ", ".join(
+    f"""tg{i} AS (SELECT lo, hi, lo+(hi-lo)*i/40 AS t FROM tb{i}, range(41) g(i)), tl{i} AS (SELECT t, any_value((hi-lo)/40) AS step, sum(-(pos*ln(p)+(n-pos)*ln(1-p))) AS loss FROM (
+    SELECT *, greatest(1e-7, least(1-1e-7, 1/(1+exp(-x/t)))) AS p FROM cd, tg{i}) GROUP BY t), tb{i + 1} AS (SELECT greatest(0.01, t-step) AS lo, least(10.0, t+step) AS hi, t AS best FROM tl{i} ORDER BY loss, t LIMIT 1)""" for i in range(5))
+
 ORACLE = {
+    "fit_platt": f"WITH {COND.format(truth='quality')}, {NEWTON} SELECT 'audio.pitch_shift' AS target, 'a' AS name, {r('a', 3)} AS value FROM nw15 UNION ALL SELECT 'audio.pitch_shift', 'b', {r('b', 3)} FROM nw15",
+    "fit_temperature": f"WITH {COND.format(truth='quality')}, {GRIDS} SELECT 'clip.label_confidence' AS target, 'temperature' AS name, {r('best', 3)} AS value FROM tb5",
+    # the largest over starts at or before of the least mean up to ends at or after
+    "fit_isotonic": f"""WITH {COND.format(truth='toxic')}, k AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(pos) OVER (ORDER BY x) AS cp FROM cd),
+        m AS (SELECT s.i AS s, e.i AS e, (e.cp-s.cp+s.pos)/(e.cn-s.cn+s.n) AS mean FROM k s JOIN k e ON e.i>=s.i), u AS (SELECT s, e, min(mean) OVER (PARTITION BY s ORDER BY e DESC) AS low FROM m)
+        SELECT k.x AS raw, {r('max(low)', 4)} AS p FROM k JOIN u ON u.s<=k.i AND u.e=k.i GROUP BY k.x""",
     "fit_all": sql("calibration_samples", "SELECT target, method, samples>=30 AS fitted, samples FROM tn", TARGETS),
     "calibration_status": sql("calibration_samples", "SELECT target, method, samples>=30 AS fitted, samples AS training_samples FROM tn", TARGETS),
     "calibrate": sql("calibration_samples", f"SELECT target, raw, band, band_label, count(*) AS n, {r('max(p)', 6)} AS p FROM cb GROUP BY 1,2,3,4", CAL),
@@ -231,7 +254,7 @@ ORACLE = {
     "read_comment_dump": sql("comments", """SELECT CASE WHEN id%3<>0 THEN 'youtube:' || id ELSE 'youtube:h' || substr(sha256('youtube:' || author_id || ':' || substr(text,1,100) || ':' || CAST(epoch(timestamp_posted) AS BIGINT)),1,16) END AS platform_comment_id,
         author_id, CASE WHEN id%2=0 THEN like_count ELSE 0 END AS like_count, coalesce(CAST(parent_comment_id AS VARCHAR),'root') AS parent_id, timestamp_posted, CAST(length(text) AS INT) AS n FROM comments"""),
     "save_and_load": sql("videos", "SELECT id, platform, view_count FROM videos"),
-    "upsert": sql("videos", """SELECT id, coalesce(CASE WHEN id%4=0 THEN upper(title) END, CASE WHEN id%3<>0 THEN title END) AS title, CASE WHEN id%2=0 THEN view_count+1 ELSE view_count END AS view_count,
+    "upsert": sql("videos", """SELECT id, coalesce(CASE WHEN id%4=0 THEN upper(title) END, CASE WHEN id%3<>0 THEN title END) AS title, CASE WHEN id%2=0 THEN view_count+1 ELSE view_count END AS view_count, CASE WHEN id%2=0 THEN 2 END AS seen,
         CASE WHEN id%2=0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2020-01-01' END AS updated_at FROM videos WHERE id%3<>0 OR id%2=0"""),
     "upsert_vectors": sql("vectors", "SELECT id, CASE WHEN id%2=0 THEN collection+100 ELSE collection END AS collection FROM vectors WHERE id%2=0 OR id%3=0"),
     "delete_by_video": sql("vectors", "SELECT id, id%20 AS video_id FROM vectors WHERE id%20 NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey%2=0)"),

@@ -3,13 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lexicons import ASR_FILLERS
 from ..operators import aggregates as G
 from ..operators import audio as U
 from ..operators import filters as L
 from ..operators import joins as J
 from ..operators import temporal as B
 from ..sources import adapters as A
-from .models_sql import clip, r, raw_words, sql
+from .catalog_scalars import LOOPED, LOOPS
+from .models_sql import clip, in_list, r, raw_words, sql, words
 
 AS_OF = "2001-08-02"
 
@@ -117,8 +119,8 @@ QUERIES = {
     "growth": lambda s, d: B.growth(growth_input(s, d)),
     "scene_pacing": lambda s, d: B.scene_pacing(A.frames(s, d)),
     "drop_hallucinations": lambda s, d: U.drop_hallucinations(A.segments(s, d).withColumn(
-        "text", F.when(F.col("id") % 3 == 0, F.repeat(F.lit("go "), 8)).otherwise(F.col("text")))).select("id", "video_id"),
-    "chunk_transcript": lambda s, d: U.chunk_transcript(asr(s, d)).select("video_id", "start_time", "end_time", F.length("text").cast("long").alias("n"), "confidence"),
+        "text", F.when(F.col("id") % 3 == 0, F.concat("text", F.repeat(F.lit(" go"), 12))).otherwise(F.col("text")))).select("id", "video_id"),
+    "chunk_transcript": lambda s, d: U.chunk_transcript(asr(s, d)).select("video_id", "start_time", "end_time", "text", "confidence"),
     "scene_changes": lambda s, d: U.scene_changes(histograms(s, d), 0.3).select("id", "is_scene_change", F.floor(F.col("distance") * 1e6 + 0.5).alias("micro")),
     "merge_ocr": lambda s, d: U.merge_ocr(ocr_tokens(s, d)),
     "smooth_ocr": lambda s, d: U.smooth_ocr(A.frames(s, d)).select("id", "ocr_text", F.floor(F.col("ocr_confidence") * 1e6 + 0.5).alias("micro")),
@@ -146,6 +148,12 @@ SIGNALS = f"""lg AS (SELECT *, {', '.join(LAG.format(c) for c in ('music_probabi
     s[list_position(list_transform(s, lambda x: x.m), list_max(list_transform(s, lambda x: x.m)))].t AS transition_type,
     CASE WHEN len(s)>=3 THEN least(1.0, least(1.0, list_max(list_transform(s, lambda x: x.m))*1.2)*1.15) WHEN len(s)=2 THEN least(1.0, list_max(list_transform(s, lambda x: x.m))*1.2)
       ELSE list_max(list_transform(s, lambda x: x.m)) END AS magnitude FROM sl WHERE len(s)>0) WHERE magnitude>=0.25)"""
+# recogniser pieces one by one: a chunk opens at the first piece after a full one
+CHUNKS = f"""cp AS (SELECT video_id, start_time AS s, end_time AS e, confidence-1 AS lp, array_to_string(list_filter({raw_words('text')}, lambda w: lower(w) NOT IN {in_list(ASR_FILLERS)}),' ') AS clean,
+    row_number() OVER (PARTITION BY video_id ORDER BY start_time, end_time) AS k FROM segments),
+  cw AS (SELECT video_id, k, s, e, lp, clean, clean<>'' AS ok, s AS chunk, CASE WHEN clean<>'' AND e-s>=15 THEN NULL ELSE s END AS carry FROM cp WHERE k=1
+    UNION ALL SELECT p.video_id, p.k, p.s, p.e, p.lp, p.clean, p.clean<>'', coalesce(carry, p.s), CASE WHEN p.clean<>'' AND p.e-coalesce(carry, p.s)>=15 THEN NULL ELSE coalesce(carry, p.s) END
+    FROM cw JOIN cp p ON p.video_id=cw.video_id AND p.k=cw.k+1)"""
 SUPPRESS = """o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, id) AS k FROM rp),
   wk AS (SELECT video_id, k, id AS oid, timestamp AS ot, magnitude AS om, CAST(NULL AS BIGINT) AS done FROM o WHERE k=1
     UNION ALL SELECT o.video_id, o.k, CASE WHEN o.timestamp-ot<40 AND NOT o.magnitude>om THEN oid ELSE o.id END, CASE WHEN o.timestamp-ot<40 AND NOT o.magnitude>om THEN ot ELSE o.timestamp END,
@@ -220,6 +228,12 @@ ORACLE = {
         row_number() OVER (PARTITION BY s.id ORDER BY timestamp, f.id) AS k FROM segments s JOIN frames f ON f.video_id=s.video_id AND abs(f.timestamp-s.start_time)<20) WHERE k<=5 GROUP BY 1"""),
     "curve_at": sql("segments audio_windows", f"""SELECT s.id, s.video_id, {MICRO.format('coalesce(ec.value, m.m)')} AS micro FROM segments s JOIN (SELECT video_id, avg(value) AS m FROM ec GROUP BY 1) m USING (video_id)
         LEFT JOIN ec ON ec.video_id=s.video_id AND ec.bucket=floor(s.start_time*0.5)""", DUR, ENERGY),
+    "drop_hallucinations": sql("segments", f"""SELECT id, video_id FROM (SELECT *, {LOOPED} AS rep, {words('t')} AS w FROM tx) WHERE NOT (t='' OR rep OR end_time<start_time
+        OR (len(w)>5 AND coalesce(list_max(list_transform(list_distinct(w), lambda a: len(list_filter(w, lambda b: b=a)))),0)/len(w)>0.6))""",
+        "tx AS (SELECT id, video_id, start_time, end_time, trim(CASE WHEN id%3=0 THEN text || repeat(' go',12) ELSE text END) AS t FROM segments)", LOOPS.format("tx")),
+    "chunk_transcript": sql("segments", f"""SELECT video_id, {r('least(chunk, coalesce(greatest(lag(chunk) OVER w, lag(end_time) OVER w-2), chunk))', 2)} AS start_time, {r('end_time', 2)} AS end_time, text, {r('c', 3)} AS confidence FROM (
+        SELECT video_id, chunk, CASE WHEN max(e)-chunk<15 THEN any_value(ve) ELSE max(e) END AS end_time, string_agg(clean, ' ' ORDER BY s, e, clean) AS text, avg(greatest(0.0, least(1.0, 1+lp))) AS c
+        FROM cw JOIN (SELECT video_id, max(end_time) AS ve FROM segments GROUP BY 1) USING (video_id) WHERE ok GROUP BY video_id, chunk) WINDOW w AS (PARTITION BY video_id ORDER BY chunk)""", CHUNKS),
     "change_signals": sql("audio_windows", "SELECT id, video_id, len(s) AS n, array_to_string(list_transform(s, lambda x: x.t), ',') AS types FROM sl", SIGNALS),
     "raw_change_points": sql("audio_windows", f"SELECT id, video_id, {MICRO.format('magnitude')} AS micro, transition_type FROM rp", SIGNALS),
     "suppress_nearby": sql("audio_windows", """SELECT rp.id, rp.video_id, timestamp FROM rp WHERE rp.id IN (SELECT done FROM wk WHERE done IS NOT NULL

@@ -21,7 +21,6 @@ OVERFLOW_KEYS = [
     "original_url", "channel_follower_count", "uploader_url", "license", "series", "season_number", "episode_number", "track", "artist", "album", "release_year",
 ]
 LIVE_STATES = ["is_live", "was_live", "is_upcoming", "post_live"]
-MAX_SUBTITLE_CHARS = 500_000
 
 
 def read_channel_list(spark: SparkSession, path: str) -> DataFrame:
@@ -33,8 +32,8 @@ def read_channel_list(spark: SparkSession, path: str) -> DataFrame:
     return line.select(url.alias("url"), tier.alias("priority_tier"), detect_platform(url).alias("platform"))
 
 
-def read_video_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(videos, chapters) from one JSON record per line."""
+def read_video_info(spark: SparkSession, path: str, max_auto_captions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(videos, chapters) from one JSON record per line. ``max_auto_captions`` (50 in the described model) limits that list."""
     raw = spark.read.text(path)
     r = raw.select(F.from_json("value", INFO_SCHEMA).alias("r"), F.from_json("value", "map<string,string>").alias("all"))
     r = r.select("r.*", "all").withColumn("platform", detect_platform(F.coalesce("webpage_url", F.lit(""))))
@@ -45,7 +44,7 @@ def read_video_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         F.col("duration").alias("duration_seconds"), "view_count", "like_count", "dislike_count", "comment_count", "age_limit", F.coalesce("channel", "uploader").alias("channel_name"),
         F.coalesce("channel_id", "uploader_id").alias("channel_id"), X.uploaded_at("upload_date").alias("uploaded_at"), "language", "tags", "categories", live.alias("live_status"),
         F.contains(F.coalesce("webpage_url", F.lit("")), F.lit("shorts")).alias("is_short"), (F.size(subs) > 0).alias("has_captions"), F.array_sort(subs).alias("caption_languages"),
-        (F.size(auto) > 0).alias("has_auto_captions"), F.slice(F.array_sort(auto), 1, 50).alias("auto_caption_languages"),
+        (F.size(auto) > 0).alias("has_auto_captions"), (F.array_sort(auto) if max_auto_captions is None else F.slice(F.array_sort(auto), 1, max_auto_captions)).alias("auto_caption_languages"),
         F.map_filter("all", lambda k, v: k.isin(OVERFLOW_KEYS) & v.isNotNull()).alias("metadata"))
     chapters = r.select(F.concat_ws(":", "platform", "id").alias("platform_id"), F.explode("chapters").alias("c")).select(
         "platform_id", F.coalesce("c.title", F.lit("")).alias("title"), F.coalesce("c.start_time", F.lit(0.0)).alias("start_time"), F.col("c.end_time").alias("end_time"))
@@ -64,13 +63,16 @@ def read_comment_dump(spark: SparkSession, path: str, platform: str | None = Non
         F.coalesce("parent", F.lit("root")).alias("parent_id"), X.parse_posted("timestamp").alias("timestamp_posted"), F.coalesce("is_pinned", F.lit(False)).alias("is_pinned"), "video_id")
 
 
-def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """Whole srt, vtt and ass files named ``<video>.<lang>[.auto].<ext>``; a manual file wins over an automatic one."""
+def read_subtitles(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
+    """Whole srt, vtt and ass files named ``<video>.<lang>[.auto].<ext>``; a manual file wins over an automatic one.
+
+    ``max_chars`` (500 000 in the described model) cuts the content.
+    """
     f = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
     pattern = r"^(.*?)\.([^.]+?)(\.auto)?\.(srt|vtt|ass)$"
     f = f.filter(F.col("name").rlike(pattern)).select(
         F.regexp_extract("name", pattern, 1).alias("video_id"), F.regexp_extract("name", pattern, 2).alias("language"), (F.regexp_extract("name", pattern, 3) != "").alias("is_auto_generated"),
-        F.regexp_extract("name", pattern, 4).alias("format"), F.substring("value", 1, MAX_SUBTITLE_CHARS).alias("content"))
+        F.regexp_extract("name", pattern, 4).alias("format"), (F.col("value") if max_chars is None else F.substring("value", 1, max_chars)).alias("content"))
     rank = F.struct("is_auto_generated", F.when(F.col("format") == "srt", 0).when(F.col("format") == "vtt", 1).otherwise(2))
     best = f.groupBy("video_id", "language").agg(F.min_by(F.struct("is_auto_generated", "format", "content"), rank).alias("b")).select("video_id", "language", "b.*")
     return best.withColumn("cue_count", F.greatest(X.occurrences(F.col("content"), "\n\n"), F.lit(1)))
@@ -100,24 +102,39 @@ def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 # ---- keyed updates -----------------------------------------------------------------------
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], as_of: str) -> DataFrame:
-    """Rows matched on the keys take the incoming non-null values; the others are added or kept."""
-    fields = [c for c in existing.columns if c not in [*keys, "updated_at"]]
-    new = incoming.withColumn("_new", F.lit(True))
-    for c in fields:
-        if c not in incoming.columns:
-            new = new.withColumn(c, F.lit(None).cast(existing.schema[c].dataType))
-    n = new.select(*keys, *[F.col(c).alias(f"n_{c}") for c in fields], "_new")
-    j = existing.join(n, keys, "full")
+def latest_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last by ``order``, and by the other columns where that ties, so the choice is repeatable."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    by = [*(order or []), *[c for c in rest if c not in (order or [])]]
+    rank = F.struct(*[F.col(c) if not isinstance(df.schema[c].dataType, T.MapType) else F.to_json(c) for c in by])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row")).select(*keys, "_row.*")
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], as_of: str, order: list[str] | None = None) -> DataFrame:
+    """Rows matched on the keys take the incoming non-null values; the others are added or kept.
+
+    Of incoming rows with one key the last by ``order`` counts. New columns are taken over, null for rows not touched.
+    """
+    types = {**{f.name: f.dataType for f in incoming.schema}, **{f.name: f.dataType for f in existing.schema}}
+    fields = [c for c in dict.fromkeys([*existing.columns, *incoming.columns]) if c not in [*keys, "updated_at"]]
+
+    def side(df, c):
+        return F.col(c) if c in df.columns else F.lit(None).cast(types[c])
+
+    new = latest_per_key(incoming, keys, order)
+    n = new.select(*keys, *[side(new, c).alias(f"n_{c}") for c in fields], F.lit(True).alias("_new"))
+    o = existing.select(*keys, *[side(existing, c).alias(c) for c in fields], *(["updated_at"] if "updated_at" in existing.columns else []))
     touched = F.col("_new").isNotNull()
-    return j.select(*keys, *[F.coalesce(f"n_{c}", c).alias(c) for c in fields], F.when(touched, F.lit(as_of).cast("timestamp")).otherwise(
+    return o.join(n, keys, "full").select(*keys, *[F.coalesce(f"n_{c}", c).alias(c) for c in fields], F.when(touched, F.lit(as_of).cast("timestamp")).otherwise(
         F.col("updated_at") if "updated_at" in existing.columns else F.lit(None).cast("timestamp")).alias("updated_at"))
 
 
-def upsert_vectors(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Incoming points replace stored ones of the same id."""
+def upsert_vectors(existing: DataFrame, incoming: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
+    """Incoming points, the latest of each id, replace stored ones of the same id."""
     kept = existing.join(incoming.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(incoming.dropDuplicates([key]), allowMissingColumns=True)
+    return kept.unionByName(latest_per_key(incoming, [key], order), allowMissingColumns=True)
 
 
 def delete_by_video(vectors: DataFrame, ids: DataFrame) -> DataFrame:

@@ -54,11 +54,12 @@ def staged(spark, tmp_path, name, rows, schema):
 def test_late_rows_are_dropped(spark, tmp_path):
     import datetime as dt
     t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
-    s = staged(spark, tmp_path, "e", [[(t(0), "x"), (t(1), "x")], [(t(60), "x")], [(t(0), "late"), (t(59), "x")], [(t(200), "end")]], "ts timestamp, event_type string")
+    s = staged(spark, tmp_path, "e", [[(t(0), "x"), (t(1), "x")], [(t(60), "x")], [(t(61), "x")], [(t(0), "late"), (t(59), "x")], [(t(200), "end")]], "ts timestamp, event_type string")
     X.append_to(X.event_rate(s), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "o"))
     assert got.filter("event_type = 'late'").count() == 0
-    assert got.agg(F.sum("n")).first()[0] == 4
+    assert got.agg(F.sum("n")).first()[0] == 5
+    assert got.groupBy("window_start", "event_type").count().filter("count > 1").isEmpty()
 
 
 def test_running_state_over_many_batches_equals_batch(spark, tmp_path):
