@@ -250,9 +250,9 @@ def explanation() -> Column:
     """The sentences are result values and fixed."""
     said = F.concat_ws(
         " | ",
-        F.when(F.col("text_semantic") > 0.3, F.format_string("Transcript semantically matches your query (score: %.2f)", "text_semantic")),
+        F.when(F.col("text_semantic") > 0.3, F.format_string("Transcript semantically matches your query (score: %.2f)", rnd("text_semantic", 2))),
         F.when(F.col("keyword_match") > 0, "Keywords found in transcript"),
-        F.when(F.col("visual_similarity") > 0.2, F.format_string("Visual content matches (score: %.2f)", "visual_similarity")),
+        F.when(F.col("visual_similarity") > 0.2, F.format_string("Visual content matches (score: %.2f)", rnd("visual_similarity", 2))),
         F.when(F.col("ocr_match") > 0, F.concat(F.lit("On-screen text/numbers match: '"), F.substring("ocr_text", 1, 50), F.lit("'"))),
         F.when(F.col("temporal_coherence") > 0, "Surrounding segments also match (temporal coherence)"))
     return F.when(said == "", "Partial match across multiple signals").otherwise(said)

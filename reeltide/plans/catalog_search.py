@@ -68,7 +68,11 @@ def scores(e):
 
 def search(s, d, filters=None):
     return S.search(questions(s, d), tables(s, d), filters).select(
-        "query_id", F.col("rank").cast("long").alias("rank"), "video_id", "video_title", "channel_name", "timestamp", F.floor(F.col("confidence_score") * 1e4 + 0.5).alias("score"), "video_url_with_timecode", "view_count")
+        "query_id", F.col("rank").cast("long").alias("rank"), "video_id", "video_title", "channel_name", "timestamp", F.floor(F.col("confidence_score") * 1e4 + 0.5).alias("score"), "video_url_with_timecode", "view_count",
+        "transcript_snippet", F.array_join("visual_tags", "|").alias("tags"), "ocr_text", "explanation")
+
+
+FILTERS = {"language": "en", "min_views": 50000, "min_confidence": 0.3}
 
 
 def votes(s, d):
@@ -92,6 +96,7 @@ QUERIES = {
     "sub_queries": lambda s, d: S.sub_queries(S.decompose_query(natural(s, d))).select("query_id", "keyword", "ocr", "visual", "emotion"),
     "fused_scores": lambda s, d: scores(S.score_hits(questions(s, d), tables(s, d))),
     "search": search,
+    "search_filtered": lambda s, d: search(s, d, FILTERS),
     "recalibrate_weights": lambda s, d: S.recalibrate_weights(votes(s, d), "2024-01-31"),
     "precision_at_k": lambda s, d: S.precision_at_k(ranked_results(s, d), votes(s, d)),
 }
@@ -138,8 +143,8 @@ def decompose(source):
 
 
 W = FUSION_WEIGHTS
-ENTRIES = ", ".join([f"""cp AS (SELECT d.doc_id AS id, vector, d.doc_id%4 AS kind, d.doc_id//10 AS video_id, d.doc_id%10*7.0::DOUBLE AS timestamp, d.doc_id%10*7.0::DOUBLE+15 AS end_time, text, CAST(d.doc_id AS VARCHAR) AS ocr,
-    (d.doc_id%10)/10 AS confidence, (d.doc_id*31%21-10)/10 AS sentiment, 'a' || (d.doc_id%7) AS author_id, (d.doc_id%70)::DOUBLE AS tss, collection FROM documents d JOIN vectors v ON v.id=d.doc_id%(SELECT count(*) FROM vectors))""",
+ENTRIES = ", ".join([f"""cp0 AS (SELECT d.doc_id AS id, vector, d.doc_id%4 AS kind, d.doc_id//10 AS video_id, d.doc_id%10*7.0::DOUBLE AS timestamp, d.doc_id%10*7.0::DOUBLE+15 AS end_time, text, CAST(d.doc_id AS VARCHAR) AS ocr,
+    (d.doc_id%10)/10 AS confidence, (d.doc_id*31%21-10)/10 AS sentiment, 'a' || (d.doc_id%7) AS author_id, (d.doc_id%70)::DOUBLE AS tss, collection FROM documents d JOIN vectors v ON v.id=d.doc_id%(SELECT count(*) FROM vectors)), cp AS (SELECT * FROM cp0 WHERE true)""",
     "qs AS (SELECT b.item_id AS query_id, vector, 'loud music fast playing ' || b.item_id || ' ' || b.text AS text FROM benchmark b JOIN vectors v ON v.id=b.item_id*7%(SELECT count(*) FROM vectors))",
     decompose("qs"),
     f"""ht AS (SELECT query_id, cp.*, CASE WHEN kind<2 THEN 0 ELSE kind END AS part, {score6('cp.vector', 'qs.vector')} AS score FROM cp CROSS JOIN qs),
@@ -148,12 +153,12 @@ ENTRIES = ", ".join([f"""cp AS (SELECT d.doc_id AS id, vector, d.doc_id%4 AS kin
   ht2 AS (SELECT * FROM hb WHERE part=0 QUALIFY row_number() OVER (PARTITION BY query_id, video_id, bucket ORDER BY score DESC, timestamp)=1),
   hv2 AS (SELECT * FROM hb WHERE part=2 QUALIFY row_number() OVER (PARTITION BY query_id, video_id, bucket ORDER BY score DESC, timestamp)=1),
   en AS (SELECT query_id, video_id, bucket, coalesce(t.timestamp, v.timestamp) AS timestamp, coalesce(t.score,0) AS text_semantic, coalesce(v.score,0) AS visual_similarity,
-    t.text, t.ocr, coalesce(t.confidence,0.5) AS confidence FROM ht2 t FULL JOIN hv2 v USING (query_id, video_id, bucket)),
+    t.text, t.ocr, CASE WHEN v.id IS NOT NULL THEN 'tag' || (v.id%5) END AS vtag, coalesce(t.confidence,0.5) AS confidence FROM ht2 t FULL JOIN hv2 v USING (query_id, video_id, bucket)),
   e2 AS (SELECT en.*, CASE WHEN en.text IS NOT NULL AND len(numbers)>0 THEN len(list_filter(numbers, lambda n: contains(en.ocr,n)))/len(numbers) ELSE 0 END AS ocr_match,
     CASE WHEN en.text IS NOT NULL AND len(keywords)>0 THEN len(list_filter(keywords, lambda n: contains(lower(en.text),n)))/len(keywords) ELSE 0 END AS keyword_match, objects, actions, lower(de.text) AS ql
     FROM en JOIN de USING (query_id)),
   cm AS (SELECT query_id, video_id, max(score) AS cs, (max({{'s': score, 'o': -id, 't': tss}})).t AS bt, count(*) AS cn, var_samp(sentiment) AS cv, count(DISTINCT author_id) AS ca FROM hb WHERE part=3 GROUP BY 1,2),
-  ve AS (SELECT DISTINCT video_id, ['music','the','and','loud','fast'][collection%5+1] AS entity FROM cp),
+  ve AS (SELECT DISTINCT video_id, ['music','the','and','loud','fast'][collection%5+1] AS entity FROM cp0),
   qe AS (SELECT DISTINCT query_id, entity FROM qs JOIN (SELECT DISTINCT entity FROM ve) ON contains(lower(text), entity)),
   eo AS (SELECT query_id, video_id, count(*)/any_value(n) AS entity_overlap FROM qe JOIN ve USING (entity) JOIN (SELECT query_id, count(*) AS n FROM qe GROUP BY 1) USING (query_id) GROUP BY 1,2),
   an AS (SELECT query_id, e2.video_id, bucket, a.* EXCLUDE (video_id), objects, actions, ql FROM e2 JOIN audio_windows a ON a.video_id=e2.video_id AND a.start_time<=timestamp+10 AND a.end_time>=timestamp-5),
@@ -168,7 +173,7 @@ ENTRIES = ", ".join([f"""cp AS (SELECT d.doc_id AS id, vector, d.doc_id%4 AS kin
   al AS (SELECT query_id, e2.video_id, bucket, max(s.confidence) AS alignment_quality FROM e2 JOIN segments s ON s.video_id=e2.video_id AND s.start_time<=timestamp+15 AND s.end_time>=timestamp-5 GROUP BY 1,2,3),
   ch AS (SELECT query_id, e2.video_id, bucket, 1-min(abs(timestamp-start_time))/10 AS change_point_proximity FROM e2 JOIN audio_windows a ON a.video_id=e2.video_id AND music_probability>=0.3
     AND abs(timestamp-start_time)<10 GROUP BY 1,2,3),
-  fz AS (SELECT query_id, video_id, bucket, timestamp, text_semantic, visual_similarity, ocr_match, keyword_match, 0.0::DOUBLE AS emotion_context, coalesce(cs,0) AS comment_semantic,
+  fz AS (SELECT query_id, video_id, bucket, timestamp, text, ocr, vtag, text_semantic, visual_similarity, ocr_match, keyword_match, 0.0::DOUBLE AS emotion_context, coalesce(cs,0) AS comment_semantic,
     CASE WHEN timestamp>0 AND abs(bt-timestamp)<30 THEN 0.8 ELSE 0 END AS comment_timestamp_boost, CASE WHEN cn>=3 THEN greatest(0,1-2*cv) ELSE 0 END AS agreement_cluster,
     coalesce(entity_overlap,0) AS entity_overlap, CASE WHEN ca>=5 THEN least(ca/20,1.0) ELSE 0 END AS user_cluster_confidence, coalesce(audio_event_match,0) AS audio_event_match,
     coalesce(audio_attribute_match,0) AS audio_attribute_match, coalesce(alignment_quality,0) AS alignment_quality, coalesce(change_point_proximity,0) AS change_point_proximity, confidence
@@ -178,6 +183,14 @@ ENTRIES = ", ".join([f"""cp AS (SELECT d.doc_id AS id, vector, d.doc_id%4 AS kin
     WINDOW w AS (PARTITION BY query_id, video_id ORDER BY timestamp, bucket)),
   ff AS (SELECT *, ({'+'.join(f'{m}*{w}' for m, w in W.items() if m != 'temporal_coherence')})*(0.7+0.3*confidence)+temporal_coherence*{W['temporal_coherence']} AS final_score FROM fc)"""])
 
+SAID = f"""concat_ws(' | ', CASE WHEN text_semantic>0.3 THEN printf('Transcript semantically matches your query (score: %.2f)', {r('text_semantic', 2)}) END, CASE WHEN keyword_match>0 THEN 'Keywords found in transcript' END,
+   CASE WHEN visual_similarity>0.2 THEN printf('Visual content matches (score: %.2f)', {r('visual_similarity', 2)}) END, CASE WHEN ocr_match>0 THEN 'On-screen text/numbers match: ' || chr(39) || substr(ocr,1,50) || chr(39) END,
+   CASE WHEN temporal_coherence>0 THEN 'Surrounding segments also match (temporal coherence)' END)"""
+RESULTS = f"""SELECT query_id, rank, f.video_id, v.title AS video_title, c.name AS channel_name, timestamp, CAST(floor({r('final_score', 4)}*1e4+0.5) AS BIGINT) AS score,
+        v.url || '&t=' || CAST(floor(timestamp) AS BIGINT) || 's' AS video_url_with_timecode, v.view_count, substr(coalesce(text,''),1,300) AS transcript_snippet, coalesce(vtag,'') AS tags, nullif(coalesce(ocr,''),'') AS ocr_text,
+        CASE WHEN {SAID}='' THEN 'Partial match across multiple signals' ELSE {SAID} END AS explanation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {r('final_score', 6)} DESC, video_id, bucket) AS rank
+        FROM ff WHERE text_semantic>=0.25 OR visual_similarity>=0.15 OR ocr_match>=0.3 OR keyword_match>=0) f JOIN videos v ON v.id=f.video_id LEFT JOIN channels c ON c.id=v.channel_id WHERE rank<=20"""
+
 ORACLE = {
     "vector_topk": sql("vectors", """SELECT query_id, id, CAST(floor(score*1e4+0.5) AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM tk QUALIFY rank<=20""", TOPK),
     "vector_topk_filtered": sql("vectors", """SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM tk WHERE collection<5 QUALIFY rank<=10""", TOPK),
@@ -199,9 +212,9 @@ ORACLE = {
     "sub_queries": f"""WITH {NATURAL}, {decompose('nat')} SELECT query_id, array_to_string(keywords,' ') AS keyword, CASE WHEN len(numbers)>0 THEN array_to_string(numbers,' ') END AS ocr,
         CASE WHEN len(objects)>0 THEN array_to_string(objects,' ') END AS visual, emotion FROM de""",
     "fused_scores": sql("vectors audio_windows segments", "SELECT query_id, video_id, bucket, " + ", ".join(f"CAST(floor(({m})*1e5+0.500001) AS BIGINT) AS {m}" for m in [*W, "final_score"]) + " FROM ff", ENTRIES),
-    "search": sql("vectors audio_windows segments videos channels", f"""SELECT query_id, rank, f.video_id, v.title AS video_title, c.name AS channel_name, timestamp, CAST(floor({r('final_score', 4)}*1e4+0.5) AS BIGINT) AS score,
-        v.url || '&t=' || CAST(floor(timestamp) AS BIGINT) || 's' AS video_url_with_timecode, v.view_count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {r('final_score', 6)} DESC, video_id, bucket) AS rank
-        FROM ff WHERE text_semantic>=0.25 OR visual_similarity>=0.15 OR ocr_match>=0.3 OR keyword_match>=0) f JOIN videos v ON v.id=f.video_id LEFT JOIN channels c ON c.id=v.channel_id WHERE rank<=20""", ENTRIES),
+    "search": sql("vectors audio_windows segments videos channels", RESULTS, ENTRIES),
+    "search_filtered": sql("vectors audio_windows segments videos channels", RESULTS, ENTRIES.replace(
+        "FROM cp0 WHERE true", "FROM cp0 WHERE confidence>=0.3 AND video_id IN (SELECT id FROM videos WHERE language='en' AND view_count>=50000)")),
     "recalibrate_weights": sql("feedback", f"""SELECT m AS modality, {r('w2/sum(w2) OVER ()', 4)} AS weight FROM (SELECT m, CASE WHEN ratio<0.6 THEN CASE WHEN m='text_semantic' THEN greatest(w-0.02,0.05) ELSE least(w+0.005,0.5) END ELSE w END AS w2
         FROM (VALUES ('text_semantic',0.20::DOUBLE),('visual_similarity',0.12),('ocr_match',0.08),('keyword_match',0.07),('temporal_coherence',0.05),('emotion_context',0.02)) t(m,w)
         CROSS JOIN (SELECT count(*) FILTER (WHERE feedback_type='upvote')/greatest(count(*) FILTER (WHERE feedback_type IN ('upvote','downvote')),1) AS ratio,
