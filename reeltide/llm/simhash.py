@@ -18,8 +18,8 @@ SEED = 42
 #: Fingerprints that the tree is built from (a sample; all of them are routed through it).
 SAMPLE = 16_384
 #: Aim for the members of a shard, and the most that one task compares with each other.
-SHARD_ROWS = 8_192
-BLOCK_ROWS = 65_536
+SHARD_ROWS = 65_536
+BLOCK_ROWS = 262_144
 #: Shards (the tree is broadcast, 24 bytes a node).
 MAX_SHARDS = 65_536
 _SMALL = 1_024
