@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from . import scan
 from .common import staged, table, whole
 
 SHINGLE = 3
@@ -22,6 +23,10 @@ SHARD_ROWS = 65_536
 BLOCK_ROWS = 262_144
 #: Shards (the tree is broadcast, 24 bytes a node).
 MAX_SHARDS = 65_536
+#: Near copies: fingerprints of the set of words in several tables, links at so many bits if the shingle fingerprints agree so far.
+TABLES = 4
+TABLE_BITS = 4
+CHECK_BITS = 11
 _SMALL = 1_024
 _CHUNK = 1 << 16
 
@@ -114,33 +119,42 @@ def route(node: Node, fp: np.ndarray, bits: int, at: np.ndarray | None = None) -
     yield from route(node.far, fp, bits, at[d > node.radius])
 
 
-def _star(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) that join the points within bits into the same classes as all pairs would."""
-    if len(x) <= _SMALL:
-        close = distance(x[:, None], x[None, :]) <= bits
-        if close.sum() == len(x):
+def _star(x: np.ndarray, bits: int, check: np.ndarray | None = None, at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (positions) that join the points within bits into the same classes as all pairs would.
+
+    With check, a pair must also be within CHECK_BITS there.
+    """
+    at = np.arange(len(x)) if at is None else at
+    own = x[at]
+    if len(at) <= _SMALL:
+        close = distance(own[:, None], own[None, :]) <= bits
+        if close.sum() == len(at):
             return
-        label = np.arange(len(x))
+        if check is not None:
+            close &= distance(check[at][:, None], check[at][None, :]) <= CHECK_BITS
+        label = np.arange(len(at))
         while True:
-            least = np.where(close, label[None, :], len(x)).min(1)
+            least = np.where(close, label[None, :], len(at)).min(1)
             if (least == label).all():
                 break
             label = least
-        linked = label != np.arange(len(x))
-        yield x[linked], x[label[linked]]
+        linked = label != np.arange(len(at))
+        yield at[linked], at[label[linked]]
         return
-    cut = _split(x, bits)
+    cut = _split(own, bits)
     if cut is not None:
-        d = distance(x, cut[0])
-        yield from _star(x[d <= cut[1] + bits], bits)
-        yield from _star(x[d > cut[1]], bits)
+        d = distance(own, cut[0])
+        yield from _star(x, bits, check, at[d <= cut[1] + bits])
+        yield from _star(x, bits, check, at[d > cut[1]])
         return
-    left = x  # too dense to split: walk class by class, every point once against what is left
+    left = at  # too dense to split: walk class by class, every point once against what is left
     while len(left):
         front, left = left[:1], left[1:]
         while len(front):
             p, front = front[0], front[1:]
-            hit = distance(left, p) <= bits
+            hit = distance(x[left], x[p]) <= bits
+            if check is not None:
+                hit &= distance(check[left], check[p]) <= CHECK_BITS
             if hit.any():
                 found, left = left[hit], left[~hit]
                 yield found, np.full(len(found), p)
@@ -165,12 +179,16 @@ def _deal(tree, sizes, bits: int):
     return run
 
 
+def _joined(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    found = list(found)
+    return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+
+
 def _links(bits: int):
     def run(group: pa.Table) -> pa.Table:
         x = np.unique(group.column("fp").to_numpy()).view(np.uint64)
-        found = list(_star(x, bits))
-        a, b = ([np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.uint64)] * 2)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        a, b = _joined(_star(x, bits))
+        return pa.table({"a": pa.array(x[a].view(np.int64)), "b": pa.array(x[b].view(np.int64))})
     return run
 
 
@@ -200,6 +218,82 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     return rows.join(member, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def word_prints(text: str | None, tables: int = TABLES) -> list[int]:
+    """Fingerprints of the set of words of a text, one for each table. A changed word moves few of their bits."""
+    words = list(set((text or "").encode().lower().split()))
+    out = []
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64)
+    for k in range(tables):
+        own, counts = scan.mix(h + np.uint64(k)), np.zeros(64, np.int64)
+        for at in range(0, len(own), _CHUNK):
+            counts += np.unpackbits(own[at:at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * counts > len(own), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def _all_prints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("_t").to_pylist()
+            prints = np.array([[*word_prints(t), fingerprint(t, shingle)] for t in texts], dtype=np.uint64).reshape(len(texts), TABLES + 1).view(np.int64)
+            ends = pa.array(np.arange(len(texts) + 1) * (TABLES + 1), pa.int32())
+            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(prints.ravel()))], names=["doc_id", "prints"])
+    return run
+
+
+def _table_bits(table: int, bits: int) -> int:
+    return bits if table == TABLES else TABLE_BITS
+
+
+def _deal_tables(trees, bits: int):
+    """Rows (node, prints) to the shards of every table; the last table is the shingle fingerprint."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.asarray(b.column("prints").flatten()).view(np.uint64).reshape(b.num_rows, TABLES + 1)
+            node, check = b.column("node").to_numpy(zero_copy_only=False), prints[:, TABLES]
+            for table, (root, expected) in enumerate(trees.value):
+                fp = prints[:, table]
+                for shard, at in route(root, fp, _table_bits(table, bits)):
+                    n = max(1, int(-(-expected[shard] // BLOCK_ROWS)))
+                    block = (fp[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+                    for other in range(n):
+                        cell = (table << 56) + (shard << 32) + np.minimum(block, other) * n + np.maximum(block, other)
+                        yield pa.record_batch([pa.array(cell), pa.array(fp[at].view(np.int64)), pa.array(check[at].view(np.int64)), pa.array(node[at])], names=["cell", "fp", "check", "node"])
+    return run
+
+
+def _table_links(bits: int):
+    def run(group: pa.Table) -> pa.Table:
+        x, check = (group.column(c).to_numpy().view(np.uint64) for c in ("fp", "check"))
+        node = group.column("node").to_numpy()
+        a, b = _joined(_star(x, _table_bits(int(group.column("cell")[0].as_py()) >> 56, bits), check))
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+    return run
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: classes wider than near_duplicates, for copies in which some words were changed.
+
+    Linked are texts whose shingle fingerprints are within bits, or whose word sets are within TABLE_BITS in one of
+    TABLES independent fingerprints and whose shingle fingerprints are within CHECK_BITS (unrelated texts: about 32).
+    Each table has its own vantage-point tree. Copies are one node, named by their smallest id; rows without an id are
+    left out; rows of one id are one document.
+    """
+    spark = docs.sparkSession
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("_t"))
+    rows = staged(rows.mapInArrow(_all_prints(shingle), "doc_id long, prints array<long>"), "copies")
+    distinct = staged(rows.groupBy("prints").agg(F.min("doc_id").alias("node")), "copies-distinct")
+    total = distinct.count()
+    sample = distinct.select("prints").orderBy(F.xxhash64("prints")).limit(SAMPLE).toArrow().column("prints").combine_chunks()
+    points = np.asarray(sample.flatten() if len(sample) else [], dtype=np.int64).view(np.uint64).reshape(len(sample), TABLES + 1)
+    trees = spark.sparkContext.broadcast([build_tree(points[:, t], total, _table_bits(t, bits)) for t in range(TABLES + 1)])
+    dealt = distinct.mapInArrow(_deal_tables(trees, bits), "cell long, fp long, check long, node long")
+    links = staged(dealt.groupBy("cell").applyInArrow(_table_links(bits), "a long, b long").distinct(), "copies-links")
+    classes = staged(connected_components(links), "copies-classes")
+    named = distinct.join(classes, distinct["node"] == classes["node"], "left").select("prints", F.coalesce("component", distinct["node"]).alias("component_id"))
+    return rows.join(named, "prints").select("doc_id", "component_id")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -13,6 +13,7 @@ from oracle_check import compare
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+from reeltide.llm import simhash as near
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
@@ -157,7 +158,15 @@ def simhash(text):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
-def classes(prints, bits=3):
+def classes(prints, bits=3, also=None):
+    """Classes by brute force; also: further fingerprints, of which one within 4 bits links if prints are within 11."""
+    def apart(a, b):
+        return bin(a ^ b).count("1")
+
+    def linked(a, b):
+        d = apart(prints[a], prints[b])
+        return d <= bits or (also is not None and d <= near.CHECK_BITS and any(apart(x, y) <= near.TABLE_BITS for x, y in zip(also[a], also[b])))
+
     ids = sorted(prints)
     parent = {i: i for i in ids}
 
@@ -168,7 +177,7 @@ def classes(prints, bits=3):
 
     for a in ids:
         for b in ids:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= bits:
+            if a < b and linked(a, b):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -227,7 +236,7 @@ def test_pipeline(llm, documents):
     told = P.language_id(llm, kept, SF)
     assert told.columns == columns and {r["doc_id"] for r in told.collect()} == good
     single = P.near_dedup(llm, told, SF)
-    want = classes({i: simhash(t) for i, t in texts.items()})
+    want = classes({i: simhash(t) for i, t in texts.items()}, also={i: near.word_prints(t) for i, t in texts.items()})
     left = {r["doc_id"]: r["text"] for r in single.collect()}
     assert single.columns == columns and set(left) == set(want.values())
     clean = P.substring_dedup(llm, single, SF)
