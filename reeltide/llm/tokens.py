@@ -24,7 +24,7 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}
 MEMORY = 400_000
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The printable stand-ins of the 256 bytes in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -37,7 +37,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        to_byte = _byte_chars()
+        to_byte = byte_chars()
         ids, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         raw = lambda t: bytes(to_byte[c] for c in t)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
