@@ -17,10 +17,13 @@ BINS = 1 << 18
 FACTORS = 4
 #: A term must be in so many documents of the sample, and its share among toxic ones differ so clearly (chi square), to get a weight.
 MIN_DOCS = 3
-MIN_CHI_SQUARE = 6.6
+MIN_CHI_SQUARE = 10.8
 #: Besides the word, its first bytes are terms, which compounds share.
 PREFIXES = (4, 5, 6)
 ROUNDS = 30
+#: Shrinkage of the weights, and the most that a document of the rarer label counts.
+SHRINK = 0.3
+MAX_WEIGHT = 4.0
 _BATCH = 256
 
 
@@ -74,6 +77,7 @@ class FactorizationMachine:
         w, v = np.zeros(len(known)), rng.normal(0, 0.02, (len(known), FACTORS))
         gw, gv, gb = np.full(len(known), 1e-2), np.full((len(known), FACTORS), 1e-2), 1e-2
         documents = max(1, n)
+        weight = min(MAX_WEIGHT, ((n - label.sum()) / max(1.0, label.sum())) ** 0.5)  # the rarer label counts more
         for r in range(rounds):
             rate = 0.2 / (1 + r / 10)
             for part in np.array_split(rng.permutation(n), max(1, n // _BATCH)):
@@ -86,13 +90,13 @@ class FactorizationMachine:
                 total = np.stack([np.bincount(of, vf[:, k], minlength=len(part)) for k in range(FACTORS)], 1)
                 squares = np.bincount(of, (vf * vf).sum(1), minlength=len(part))
                 z = bias + np.bincount(of, w[f], minlength=len(part)) + 0.5 * ((total * total).sum(1) - squares)
-                miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]
+                miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]) * np.where(label[part] > 0, weight, 1.0)
                 touched, back = np.unique(f, return_inverse=True)
-                step = np.bincount(back, miss[of]) + 0.02 * w[touched] * len(part) / documents * 50
+                step = np.bincount(back, miss[of]) + SHRINK * w[touched] * len(part) / documents
                 gw[touched] += step * step
                 w[touched] -= rate * step / np.sqrt(gw[touched])
                 for k in range(FACTORS):
-                    s = np.bincount(back, miss[of] * (total[of, k] - vf[:, k])) + 0.05 * v[touched, k] * len(part) / documents * 50
+                    s = np.bincount(back, miss[of] * (total[of, k] - vf[:, k])) + 2 * SHRINK * v[touched, k] * len(part) / documents
                     gv[touched, k] += s * s
                     v[touched, k] -= 0.1 * rate * s / np.sqrt(gv[touched, k])
                 g = miss.sum()
