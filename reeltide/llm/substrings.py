@@ -85,6 +85,14 @@ def _runs(row_id, tag, start):
     return {"_id": pa.array(i[a]), "_tag": pa.array(g[a]), "lo": pa.array(s[a].astype(np.int32)), "hi": pa.array(s[z].astype(np.int32))}
 
 
+def _others(order, new, i, g, start):
+    """The members of every group but its first; a window of a repeated row (same id, text and start) is no other window."""
+    if not len(order):
+        return order
+    head = order[new][np.cumsum(new) - 1]
+    return order[~new & ((i[order] != i[head]) | (g[order] != g[head]) | (start[order] != start[head]))]
+
+
 def _candidates(window: int, filter_words, bits: int, buckets: int):
     """Windows whose anchor is repeated: of each the first in the slice is asked about, the others are known repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +111,8 @@ def _candidates(window: int, filter_words, bits: int, buckets: int):
                 key = h ^ scan.mix(anchor)
                 order = np.lexsort((start, g, i, key))
                 new = np.concatenate([[True], (key[order][1:] != key[order][:-1])])
-                again = order[~new]
                 first = order[new]
+                again = _others(order, new, i, g, start)
                 bucket = ((anchor[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 by = np.lexsort((start[first], g[first], i[first], bucket))
                 first, bucket = first[by], bucket[by]
@@ -131,8 +139,9 @@ def _resolve(group: pa.Table) -> pa.Table:
     i, g, s = (col(asked, n, d) for n, d in (("id", np.int64), ("tag", np.int64), ("start", np.int32)))
     key = h ^ scan.mix(anchor)
     order = np.lexsort((s, g, i, key))
-    same = (key[order][1:] == key[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
-    late = order[1:][same]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
+    late = _others(order, new, i, g, s)
     ki, kg, ks = (col(known, n, d) for n, d in (("id", np.int64), ("tag", np.int64), ("start", np.int32)))
     return pa.table(_runs(np.concatenate([i[late], ki]), np.concatenate([g[late], kg]), np.concatenate([s[late], ks])))
 

@@ -93,8 +93,7 @@ def test_cross_parsing(texts, reference):
     p = language.CrossParser((("x", reference), ("y", reference[::-1])))
     found, n = p.phrases(texts)
     for k, t in enumerate(texts):
-        import re
-        t = re.sub(" +", " ", t)
+        t = re.sub(" +", " ", t).lstrip(" ")
         assert n[k] == len(t)
         assert found[k].tolist() == [phrases(t, reference), phrases(t, reference[::-1])]
 
@@ -116,7 +115,7 @@ def test_substrings_odd(llm, odd, empty):
     assert len(got) == odd.count()
     assert got[0]["n_words"] == 0 and got[0]["kept_text"] == ""
     assert got[6]["n_removed"] == got[6]["n_words"] == 48 and got[5]["n_removed"] == 48 - 6  # windows of period six
-    assert got[7]["n_words"] == 30_000 and got[7]["n_removed"] == 30_000 - 997 - 19 + 0 * 1 or got[7]["n_removed"] > 28_000
+    assert got[7]["n_words"] == 30_000 and got[7]["n_removed"] == 30_000 - 997
     assert got[13]["kept_text"] == got[5]["kept_text"]
     assert substrings.remove_repeats(empty).count() == 0
 
