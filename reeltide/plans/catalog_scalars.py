@@ -131,9 +131,9 @@ def canonical_sql():
 TC = "CAST(floor(page_id*37.7::DOUBLE) AS BIGINT)"
 MARK = "CASE WHEN contains(link,'?') THEN '&t=' ELSE '?t=' END"
 # a run of 10 or more characters written four times in a row: its first ten characters stand again one run later
-LOOPS = """gr AS (SELECT id, t, i, substr(t,i,10) AS g FROM (SELECT id, t, unnest(range(1, length(t)-8)) AS i FROM {0} WHERE length(t)>=40)),
-  lo AS (SELECT DISTINCT a.id FROM gr a JOIN gr b ON a.id=b.id AND a.g=b.g AND b.i>=a.i+10 AND a.i+4*(b.i-a.i)-1<=length(a.t)
-    WHERE substr(a.t,a.i,3*(b.i-a.i))=substr(a.t,b.i,3*(b.i-a.i)) AND NOT contains(substr(a.t,a.i,4*(b.i-a.i)), chr(10)))"""
+LOOPS = """gr AS (SELECT id, i, substr(t,i,10) AS g FROM (SELECT id, t, unnest(range(1, length(t)-8)) AS i FROM {0} WHERE length(t)>=40)),
+  ab AS (SELECT a.id, a.i, b.i-a.i AS k FROM gr a JOIN gr b ON a.id=b.id AND a.g=b.g AND b.i>=a.i+10),
+  lo AS (SELECT DISTINCT id FROM ab JOIN {0} USING (id) WHERE i+4*k-1<=length(t) AND substr(t,i,3*k)=substr(t,i+k,3*k) AND NOT contains(substr(t,i,4*k), chr(10)))"""
 LOOPED = "(" + " OR ".join([
     "id IN (SELECT id FROM lo)",
     r"regexp_matches(t,'(?i)(thank you\.?\s*){4,}')", r"regexp_matches(t,'(?i)(please subscribe\.?\s*){3,}')",
