@@ -49,6 +49,7 @@ QUERIES = {
     "reciprocity_imbalance": lambda s, d: G.reciprocity_imbalance(nodes(s, d), graph_edges(s, d)),
     "graph_intelligence": lambda s, d: G.graph_intelligence(nodes(s, d), graph_edges(s, d)),
     "communities": lambda s, d: G.communities(family(s, d)),
+    "communities_graph": lambda s, d: G.communities(graph_edges(s, d)),
     "ego_graph_edges": lambda s, d: G.ego_graph(nodes(s, d), graph_edges(s, d), "s3", 2, 1000000)[1],
     "entity_network_edges": lambda s, d: G.entity_network(co_edges(s, d), "5", 2)[1],
 }
