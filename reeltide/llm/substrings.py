@@ -113,7 +113,7 @@ def _candidates(window: int, filter_words, bits: int, buckets: int):
                 new = np.concatenate([[True], (key[order][1:] != key[order][:-1])])
                 first = order[new]
                 again = _others(order, new, i, g, start)
-                bucket = ((anchor[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                bucket = ((key[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)  # by window: a hot anchor spreads
                 by = np.lexsort((start[first], g[first], i[first], bucket))
                 first, bucket = first[by], bucket[by]
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -150,7 +150,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Runs of window starts (_id, _tag, lo, hi) whose words also start earlier; docs has _id, _tag, _t.
 
     Equal windows share their smallest anchor. Anchors are counted in Spark first; only windows with a repeated anchor go
-    on, packed as binary columns by anchor, and are compared by a 64-bit window hash together with the anchor's hash.
+    on, packed as binary columns by window hash and anchor, and are compared by a 64-bit window hash together with the anchor's hash.
     A window met often inside a slice is asked about once, so a passage in every document costs one entry a slice.
     """
     spark = docs.sparkSession
