@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import fingerprints, language, packing, quality, sharding, simhash, substrings, tokens, toxicity, urls
+from . import fingerprints, language, lattice, middles, packing, quality, runs, sharding, simhash, substrings, tokens, toxicity, urls
 from .common import ship
 
 _QUERIES = {
@@ -20,9 +20,12 @@ _QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_bpe": tokens.op9_bpe,
     "op10_sharding": sharding.op10_sharding,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_embedding_near_dedup": lattice.op12_embedding_near_dedup,
+    "op13_fill_in_middle": middles.op13_fill_in_middle,
 }
 
-ORACLE = {"op5_url_filters": urls.ORACLE}
+ORACLE = {"op5_url_filters": urls.ORACLE, "op12_embedding_near_dedup": lattice.ORACLE, "op13_fill_in_middle": middles.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
