@@ -134,10 +134,43 @@ def top_token_count(tokens: Column) -> Column:
     return folded["best"]
 
 
+def _same(b: Column, i: Column, j: Column, n: Column) -> Column:
+    """Whether n code points from i on are those from j on, in a text of four bytes a code point."""
+    return F.substring(b, (4 * i + 1).cast("int"), (4 * n).cast("int")) == F.substring(b, (4 * j + 1).cast("int"), (4 * n).cast("int"))
+
+
+def _alike(b: Column, a: Column, p: Column, most: Column, forward: bool) -> Column:
+    """How many code points agree at distance p from a on (or before a), at most so many: by falling powers of two."""
+    def grow(done: Column, e: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), e)
+        at = a + done if forward else a - done - step
+        return F.when((done + step <= most) & _same(b, at, at + p, step), done + step).otherwise(done)
+    return F.aggregate(F.sequence(F.lit(29), F.lit(0), F.lit(-1)), F.lit(0), grow)
+
+
+def has_loop(text: Column | str, least: int = 10, times: int = 4) -> Column:
+    """Whether some stretch of at least ``least`` characters without a line end stands ``times`` times in a row (4 or more).
+
+    A loop of period p holds three multiples of p in a row, at which the same characters begin, so for every p only the multiples of p
+    are looked at: n log n looks for n characters, whatever they repeat. Where three agree, the stretch of period p around is measured.
+    """
+    def loops(b: Column) -> Column:
+        n = (F.octet_length(b) / 4).cast("int")
+
+        def of_period(p: Column) -> Column:
+            multiples = F.sequence(F.lit(0), F.floor((n - least) / p).cast("int") - 2)
+            return F.exists(multiples, lambda j: _same(b, j * p, (j + 1) * p, F.lit(least)) & _same(b, (j + 1) * p, (j + 2) * p, F.lit(least)) & (
+                _alike(b, j * p, p, F.least((times - 1) * p, n - (j + 1) * p), True) + _alike(b, j * p, p, F.least(p, j * p), False) >= (times - 1) * p))
+
+        return F.when(n >= least * times, F.exists(F.sequence(F.lit(least), F.greatest(F.lit(least), F.floor(n / times).cast("int"))), of_period)).otherwise(False)
+
+    lines = F.filter(F.split(col(text), "[\n\r\u0085\u2028\u2029]"), lambda x: F.length(x) >= least * times)
+    return F.exists(F.transform(lines, lambda x: F.encode(x, "UTF-32")), loops)
+
+
 def is_hallucination(text: Column | str, start: Column | str, end: Column | str) -> Column:
     t = F.trim(col(text))
-    # four copies of ten characters need forty, so short texts skip the costly pattern
-    loops = (F.length(t) >= 40) & t.rlike(L.LOOP_PATTERNS[0])
+    loops = has_loop(t)
     for p in L.LOOP_PATTERNS[1:]:
         loops = loops | t.rlike(p)
     tokens = words(t)

@@ -1,6 +1,8 @@
 """Channel and video time series."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +154,22 @@ def window_stats(curve: DataFrame, start_s: float, end_s: float, rate_hz: float)
         zero(F.avg(part)).alias("mean"), zero(F.max(part)).alias("max"), zero(F.min(part)).alias("min"), zero(F.stddev_pop(part)).alias("std"))
 
 
+def sliding_windows(measures: DataFrame, durations: DataFrame, values: list[str], width: float = 5.0, hop: float = 2.5, key: str = "video_id", at: str = "at") -> DataFrame:
+    """Means of raw measures in windows that start every hop: (key, start_time, end_time, n, mean_<value>...).
+
+    Windows of a video begin at k * hop while at least half a window is left; the last ends with the video. A window without a measure
+    stays, with n = 0 and null means; measures outside the windows, and of videos without a duration, count nowhere. A measure goes to its
+    few windows as rows, and windows are the groups, so a long video spreads over many of them.
+    """
+    last = F.floor((F.col("duration_s") - width / 2) / hop).cast("long")
+    frame = durations.filter(F.col("duration_s") >= width / 2).select(key, "duration_s", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+    own = F.floor(F.col(at) / hop).cast("long")
+    covered = F.filter(F.sequence(own - math.ceil(width / hop), own), lambda k: (k >= 0) & (k * hop <= F.col(at)) & (F.col(at) < k * hop + width))
+    parts = measures.filter(F.col(at).isNotNull()).select(key, F.explode(covered).alias("k"), *values).groupBy(key, "k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"mean_{v}") for v in values])
+    start = F.col("k") * hop
+    return frame.join(parts, [key, "k"], "left").select(key, start.alias("start_time"), F.least(start + width, F.col("duration_s")).alias("end_time"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[f"mean_{v}" for v in values])
+
+
 def silence(audio: DataFrame, durations: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Gaps between windows: total, mean, longest, count, pauses of 0.8 to 3.5 s."""
     a = audio.select("video_id", "id", "start_time", "end_time", F.coalesce("speech_probability", F.lit(0.5)).alias("sp"))

@@ -130,10 +130,15 @@ def canonical_sql():
 
 TC = "CAST(floor(page_id*37.7::DOUBLE) AS BIGINT)"
 MARK = "CASE WHEN contains(link,'?') THEN '&t=' ELSE '?t=' END"
-# a run of 10 or more characters written four times in a row: its first ten characters stand again one run later
-LOOPS = """gr AS (SELECT id, i, substr(t,i,10) AS g FROM (SELECT id, t, unnest(range(1, length(t)-8)) AS i FROM {0} WHERE length(t)>=40)),
-  ab AS (SELECT a.id, a.i, b.i-a.i AS k FROM gr a JOIN gr b ON a.id=b.id AND a.g=b.g AND b.i>=a.i+10),
-  lo AS (SELECT DISTINCT id FROM ab JOIN {0} USING (id) WHERE i+4*k-1<=length(t) AND substr(t,i,3*k)=substr(t,i+k,3*k) AND NOT contains(substr(t,i,4*k), chr(10)))"""
+# ten or more characters written four times in a row: three multiples of the period begin with the same ten characters
+LOOPS = """cs AS MATERIALIZED (SELECT id, length(t) AS n, t FROM {0} WHERE length(t)>=40),
+  gr AS MATERIALIZED (SELECT id, i, hash(substr(t,i+1,10)) AS g FROM (SELECT id, t, unnest(range(0, n-9)) AS i FROM cs)),
+  pj AS MATERIALIZED (SELECT id, p, unnest(range(0, ((n-10)//p-1)*p, p)) AS i FROM (SELECT id, n, unnest(range(10, n//4+1)) AS p FROM cs)),
+  pa AS MATERIALIZED (SELECT pj.id, p, pj.i, g FROM pj JOIN gr ON gr.id=pj.id AND gr.i=pj.i),
+  pb AS MATERIALIZED (SELECT pa.id, p, pa.i, pa.g FROM pa JOIN gr ON gr.id=pa.id AND gr.i=pa.i+p AND gr.g=pa.g),
+  ab AS MATERIALIZED (SELECT pb.id, p, pb.i FROM pb JOIN gr ON gr.id=pb.id AND gr.i=pb.i+2*p AND gr.g=pb.g),
+  lo AS (SELECT DISTINCT id FROM (SELECT id, p, unnest(range(greatest(0, i-p+1), i+1)) AS s FROM ab) JOIN {0} USING (id)
+    WHERE s+4*p<=length(t) AND substr(t,s+1,3*p)=substr(t,s+1+p,3*p) AND NOT contains(substr(t,s+1,4*p), chr(10)) AND NOT contains(substr(t,s+1,4*p), chr(13)))"""
 LOOPED = "(" + " OR ".join([
     "id IN (SELECT id FROM lo)",
     r"regexp_matches(t,'(?i)(thank you\.?\s*){4,}')", r"regexp_matches(t,'(?i)(please subscribe\.?\s*){3,}')",

@@ -100,8 +100,8 @@ def asked(s, d):
 
 
 def answered(s, d):
-    """Uploads of the channel that take up the entity: every line of an even order."""
-    return A.mentions(s, d).filter("source_id % 2 = 0").select("channel_id", "entity_id", "ts")
+    """Uploads of the channel that take up the entity: every mention line."""
+    return A.mentions(s, d).select("channel_id", "entity_id", "ts")
 
 
 def signal_tables(s, d):
@@ -158,7 +158,6 @@ QUERIES = {
     "entity_propagation": lambda s, d: S.propagation_summary(A.mentions(s, d)),
     "parasocial": lambda s, d: S.parasocial(A.comments(s, d), creators(s, d)),
     "topic_gestation": lambda s, d: S.topic_gestation(asked(s, d), answered(s, d)),
-    "topic_gestation_all": lambda s, d: S.topic_gestation(asked(s, d), A.mentions(s, d).select("channel_id", "entity_id", "ts")),
     "room_clusters": lambda s, d: S.room_clusters(upload_vectors(s, d).withColumnRenamed("id", "video_id")),
     "signal_records": lambda s, d: L.signal_records(S.upload_patterns(A.uploads(s, d)), channel_id=7, order=[F.col("video_id")]),
     "graph_relational_signals": lambda s, d: L.graph_relational_signals(S.commenter_migration(A.comments(s, d)), S.propagation_summary(A.mentions(s, d)), S.parasocial(A.comments(s, d), creators(s, d)),
@@ -267,9 +266,6 @@ ORACLE = {
         SELECT author_id, channel_id, count(*) AS n FROM comments GROUP BY 1,2) LEFT JOIN (SELECT p.author_id, p.channel_id, count(*) AS k FROM comments c JOIN comments p ON c.parent_comment_id=p.id
           WHERE c.author_id='assistant_' || (p.channel_id%7) GROUP BY 1,2) USING (author_id, channel_id) WHERE author_id<>'assistant_' || (channel_id%7)"""),
     "topic_gestation": sql("mentions", """SELECT channel_id, entity_id, any_value(f) AS first_comment_at, any_value(v) AS first_video_at, any_value(CAST(floor((epoch(v)-epoch(f))/86400) AS BIGINT)) AS gestation_days, count(*) AS mentions_before, bool_or(source_id%5=0) AS audience_requested
-        FROM mentions m JOIN (SELECT channel_id, entity_id, f, min(ts) AS v FROM mentions JOIN (SELECT channel_id, entity_id, min(ts) AS f FROM mentions GROUP BY 1,2) USING (channel_id, entity_id) WHERE source_id%2=0 AND ts>f GROUP BY 1,2,3) USING (channel_id, entity_id)
-        WHERE m.ts<v GROUP BY 1,2"""),
-    "topic_gestation_all": sql("mentions", """SELECT channel_id, entity_id, any_value(f) AS first_comment_at, any_value(v) AS first_video_at, any_value(CAST(floor((epoch(v)-epoch(f))/86400) AS BIGINT)) AS gestation_days, count(*) AS mentions_before, bool_or(source_id%5=0) AS audience_requested
         FROM mentions m JOIN (SELECT channel_id, entity_id, f, min(ts) AS v FROM mentions JOIN (SELECT channel_id, entity_id, min(ts) AS f FROM mentions GROUP BY 1,2) USING (channel_id, entity_id) WHERE ts>f GROUP BY 1,2,3) USING (channel_id, entity_id)
         WHERE m.ts<v GROUP BY 1,2"""),
     "signal_records": sql("uploads", "SELECT * FROM upp WHERE channel_id=7 ORDER BY video_id LIMIT 50", UPP.format("uploads")),

@@ -117,6 +117,38 @@ def q_read_comment_dump(s, d):
     return df.select("platform_comment_id", "author_id", "like_count", "parent_id", "timestamp_posted", F.length("text").alias("n"))
 
 
+def q_read_subtitles(s, d):
+    """Texts of documents as cues of a hundred videos in files <video>.<language>[.auto].<ext>; some have a manual file, some an automatic one, most both."""
+    k = F.col("doc_id")
+    cue = F.concat(F.lit("c"), F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]+", "\n")), "\n", "\n\n"), F.lit("x\n"))
+    name = lambda end: F.concat((k % 100).cast("string"), F.lit("."), F.coalesce("lang", F.lit("xx")), F.lit(end))
+    t = A.table(s, d, "documents").withColumn("text", cue)
+    rows = t.filter(k % 3 != 0).select(name(".vtt").alias("file"), "text").union(t.filter(k % 3 != 1).select(name(".auto.srt"), "text"))
+    path = staging_path(s, "subtitles")
+    R.write_named_texts(rows, path, "file", "text")
+    got = R.read_subtitles(s, path, named_by_folder=True)
+    return got.select(F.col("video_id").cast("long").alias("video_id"), "language", "format", "is_auto_generated", F.col("cue_count").cast("long").alias("cue_count"), F.length("content").cast("long").alias("chars"))
+
+
+def q_read_calibration_samples(s, d):
+    """Events by type and user as one JSON object a user."""
+    e = A.table(s, d, "events").groupBy("user_id", "event_type").agg(F.collect_list(F.struct((F.col("value") / 100).alias("raw"), (F.col("event_id") % 2).cast("int").alias("truth"))).alias("samples"))
+    objects = e.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "samples")))).alias("value"))
+    got = R.read_calibration_samples(s, staged_text(s, objects.select("value"), "samples"), one_a_line=True)
+    return got.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.floor(F.sum("raw") * 1e4 + 0.5).alias("raw_sum"), F.sum("truth").alias("truths"))
+
+
+def q_read_rules(s, d):
+    """Weights by event type, written as a small file from the count of each type, read as parameters and applied to the events."""
+    e = A.table(s, d, "events")
+    line = F.concat(F.lit('  "'), "event_type", F.lit('": '), F.col("n").cast("string"))
+    counts = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(line)), ",\n").alias("v"))
+    path = staged_text(s, counts.select(F.concat(F.lit('{"weights": {\n'), "v", F.lit("\n}}")).alias("value")), "rules")
+    weights = R.read_rules(path, s)["weights"]
+    weight = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
+    return e.groupBy("user_id").agg(F.sum(weight[F.col("event_type")].cast("long")).alias("weight"))
+
+
 def q_save_load(s, d):
     path = staging_path(s, "tables")
     R.save_table(A.videos(s, d).select("id", "platform", "view_count"), f"{path}/videos", ["platform"])
@@ -195,6 +227,9 @@ QUERIES = {
     "read_channel_list": q_read_channel_list,
     "read_video_info": q_read_video_info,
     "read_comment_dump": q_read_comment_dump,
+    "read_subtitles": q_read_subtitles,
+    "read_calibration_samples": q_read_calibration_samples,
+    "read_rules": q_read_rules,
     "save_and_load": q_save_load,
     "upsert": q_upsert,
     "upsert_vectors": q_upsert_vectors,
@@ -251,6 +286,14 @@ ORACLE = {
         UNION ALL SELECT 'https://twitch.tv/' || page_id, 1, 'twitch' FROM pages WHERE page_id%7<>0 AND page_id%11<>0 AND page_id%2=1""",
     "read_video_info": sql("videos", """SELECT 'youtube:' || id AS platform_id, uploaded_at, view_count, CASE WHEN id%4=0 THEN 'was_live' ELSE 'none' END AS live_status, CASE WHEN id%3=0 THEN 'de,en' ELSE '' END AS languages,
         CASE WHEN id%2=0 THEN '60' ELSE '' END AS fps, id%30 AS intro_end FROM videos"""),
+    "read_subtitles": """WITH t AS (SELECT doc_id, doc_id%100 AS video_id, coalesce(lang,'xx') AS language,
+          'c' || replace(trim(regexp_replace(coalesce(text,''), '[\\n\\r]+', chr(10), 'g'), ' '), chr(10), chr(10) || chr(10)) || 'x' AS cue FROM documents),
+        f AS (SELECT video_id, language, cue, doc_id%3<>0 AS manual, doc_id%3<>1 AS automatic FROM t),
+        g AS (SELECT video_id, language, false AS is_auto_generated, 'vtt' AS format, cue FROM f WHERE manual UNION ALL SELECT video_id, language, true, 'srt', cue FROM f WHERE automatic),
+        h AS (SELECT video_id, language, is_auto_generated, format, CAST(sum(1+(length(cue)-length(replace(cue, chr(10) || chr(10), '')))//2) AS BIGINT) AS cue_count, CAST(sum(length(cue)+2) AS BIGINT) AS chars FROM g GROUP BY ALL)
+        SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY video_id, language ORDER BY is_auto_generated)=1""",
+    "read_calibration_samples": "SELECT event_type AS target, count(*) AS n, CAST(floor(sum(value/100)*1e4+0.5) AS BIGINT) AS raw_sum, CAST(sum(event_id%2) AS BIGINT) AS truths FROM events GROUP BY 1",
+    "read_rules": "SELECT user_id, CAST(sum(n) AS BIGINT) AS weight FROM events JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type) GROUP BY 1",
     "read_comment_dump": sql("comments", """SELECT CASE WHEN id%3<>0 THEN 'youtube:' || id ELSE 'youtube:h' || substr(sha256('youtube:' || author_id || ':' || substr(text,1,100) || ':' || CAST(epoch(timestamp_posted) AS BIGINT)),1,16) END AS platform_comment_id,
         author_id, CASE WHEN id%2=0 THEN like_count ELSE 0 END AS like_count, coalesce(CAST(parent_comment_id AS VARCHAR),'root') AS parent_id, timestamp_posted, CAST(length(text) AS INT) AS n FROM comments"""),
     "save_and_load": sql("videos", "SELECT id, platform, view_count FROM videos"),

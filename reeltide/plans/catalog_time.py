@@ -78,7 +78,13 @@ def histograms(s, d):
     return f.select("id", "video_id", "timestamp", F.array(*[(F.col("id") * k % 17 + F.lit(1.0)) for k in (1, 3, 5, 7)]).alias("histogram"))
 
 
+def raw_measures(s, d):
+    return A.audio_windows(s, d).select("video_id", F.col("start_time").alias("at"), "music_probability", "loudness_lufs")
+
+
 QUERIES = {
+    "sliding_windows": lambda s, d: B.sliding_windows(raw_measures(s, d), audio_durations(s, d), ["music_probability", "loudness_lufs"]).select(
+        "video_id", "start_time", "end_time", "n", *[F.floor(F.col(f"mean_{c}") * 1e6 + 0.5).alias(f"{c}_micro") for c in ("music_probability", "loudness_lufs")]),
     "link_timestamps": lambda s, d: J.link_timestamps(timed_comments(s, d), segments_of_video(s, d)),
     "overlapping_windows": lambda s, d: J.overlapping(
         A.segments(s, d).select("id", "video_id", "start_time", "end_time"), A.audio_windows(s, d).select("video_id", F.col("id").alias("window_id"), F.col("start_time").alias("w0"), F.col("end_time").alias("w1")),
@@ -228,6 +234,9 @@ ORACLE = {
         row_number() OVER (PARTITION BY s.id ORDER BY timestamp, f.id) AS k FROM segments s JOIN frames f ON f.video_id=s.video_id AND abs(f.timestamp-s.start_time)<20) WHERE k<=5 GROUP BY 1"""),
     "curve_at": sql("segments audio_windows", f"""SELECT s.id, s.video_id, {MICRO.format('coalesce(ec.value, m.m)')} AS micro FROM segments s JOIN (SELECT video_id, avg(value) AS m FROM ec GROUP BY 1) m USING (video_id)
         LEFT JOIN ec ON ec.video_id=s.video_id AND ec.bucket=floor(s.start_time*0.5)""", DUR, ENERGY),
+    "sliding_windows": sql("audio_windows", f"""SELECT w.video_id, k*2.5::DOUBLE AS start_time, least(k*2.5+5, d)::DOUBLE AS end_time, count(a.id) AS n, {MICRO.format('avg(music_probability)')} AS music_probability_micro,
+        {MICRO.format('avg(loudness_lufs)')} AS loudness_lufs_micro FROM (SELECT video_id, d, unnest(range(0, CAST(floor((d-2.5)/2.5) AS BIGINT)+1)) AS k FROM (SELECT video_id, max(end_time) AS d FROM audio_windows GROUP BY 1) WHERE d>=2.5) w
+        LEFT JOIN (SELECT *, unnest([CAST(floor(start_time/2.5) AS BIGINT)-1, CAST(floor(start_time/2.5) AS BIGINT)]) AS k FROM audio_windows) a USING (video_id, k) GROUP BY w.video_id, k, d"""),
     "drop_hallucinations": sql("segments", f"""SELECT id, video_id FROM (SELECT *, {LOOPED} AS rep, {words('t')} AS w FROM tx) WHERE NOT (t='' OR rep OR end_time<start_time
         OR (len(w)>5 AND coalesce(list_max(list_transform(list_distinct(w), lambda a: len(list_filter(w, lambda b: b=a)))),0)/len(w)>0.6))""",
         "tx AS (SELECT id, video_id, start_time, end_time, trim(CASE WHEN id%3=0 THEN text || repeat(' go',12) ELSE text END) AS t FROM segments)", LOOPS.format("tx")),

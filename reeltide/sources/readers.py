@@ -1,6 +1,7 @@
 """Readers, writers and keyed updates."""
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,12 +64,13 @@ def read_comment_dump(spark: SparkSession, path: str, platform: str | None = Non
         F.coalesce("parent", F.lit("root")).alias("parent_id"), X.parse_posted("timestamp").alias("timestamp_posted"), F.coalesce("is_pinned", F.lit(False)).alias("is_pinned"), "video_id")
 
 
-def read_subtitles(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
+def read_subtitles(spark: SparkSession, path: str, max_chars: int | None = None, named_by_folder: bool = False) -> DataFrame:
     """Whole srt, vtt and ass files named ``<video>.<lang>[.auto].<ext>``; a manual file wins over an automatic one.
 
-    ``max_chars`` (500 000 in the described model) cuts the content.
+    ``max_chars`` (500 000 in the described model) cuts the content. ``named_by_folder`` takes the names from folders ``_name=...``.
     """
-    f = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    name = F.regexp_extract("_metadata.file_path", "_name=([^/]+)/", 1) if named_by_folder else F.col("_metadata.file_name")
+    f = spark.read.text(path, wholetext=True).select("value", name.alias("name"))
     pattern = r"^(.*?)\.([^.]+?)(\.auto)?\.(srt|vtt|ass)$"
     f = f.filter(F.col("name").rlike(pattern)).select(
         F.regexp_extract("name", pattern, 1).alias("video_id"), F.regexp_extract("name", pattern, 2).alias("language"), (F.regexp_extract("name", pattern, 3) != "").alias("is_auto_generated"),
@@ -78,17 +80,32 @@ def read_subtitles(spark: SparkSession, path: str, max_chars: int | None = None)
     return best.withColumn("cue_count", F.greatest(X.occurrences(F.col("content"), "\n\n"), F.lit(1)))
 
 
-def read_calibration_samples(spark: SparkSession, path: str) -> DataFrame:
-    """JSON objects ``{target: [{raw, truth}, ...]}``, one per line or file."""
-    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<struct<raw:double,truth:int>>>").alias("m"))
+def write_named_texts(df: DataFrame, path: str, name: str, text: str) -> None:
+    """A folder per name below path with one text file; rows of the same name are its lines, in no fixed order."""
+    df.select(F.col(name).alias("_name"), F.col(text).alias("value")).repartition("_name").write.partitionBy("_name").text(path)
+
+
+def read_calibration_samples(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """JSON objects ``{target: [{raw, truth}, ...]}``, one per file, or per line."""
+    m = spark.read.text(path, wholetext=not one_a_line).select(F.from_json("value", "map<string,array<struct<raw:double,truth:int>>>").alias("m"))
     return m.select(F.explode("m").alias("target", "samples")).select("target", F.explode("samples").alias("s")).select("target", "s.raw", "s.truth")
 
 
-def read_rules(path: str) -> dict:
-    """Weights, priority rules or limits from a small YAML file, as parameters."""
-    import yaml
-    with open(path) as f:
-        return yaml.safe_load(f) or {}
+def read_rules(path: str, spark: SparkSession | None = None) -> dict:
+    """Weights, priority rules or limits from a small YAML file, as parameters; JSON is YAML too and needs no library.
+
+    With a session the file, or folder of one file, is read by Spark, so it may lie in a store that only Spark reaches.
+    """
+    if spark is None:
+        with open(path) as f:
+            text = f.read()
+    else:
+        text = spark.read.text(path, wholetext=True).first()[0]
+    try:
+        return json.loads(text)
+    except ValueError:
+        import yaml
+        return yaml.safe_load(text) or {}
 
 
 def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:

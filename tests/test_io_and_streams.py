@@ -76,11 +76,8 @@ def test_replay_rejects_unknown_types(spark):
         X.replay(spark.range(1), types=["NOPE"])
 
 
-PYTHON_ALLOWED = {"vector_topk", "vector_topk_filtered", "similar_creators", "fused_scores", "search", "with_model"}
-
-
 @pytest.mark.parametrize("name", ["debate_chains", "upload_cadence", "break_spikes", "align", "energy_curve", "audience_overlap", "co_occurrence", "community_metrics", "linguistic_style", "meta_quality",
-                                  "sentiment_cascades", "link_timestamps", "reuse", "entity_propagation", "commenter_migration", "near_duplicates", "video_authenticity", "semantic_intent"])
+                                  "sentiment_cascades", "link_timestamps", "reuse", "entity_propagation", "commenter_migration", "video_authenticity", "semantic_intent"])
 def test_plans_have_no_cross_join_and_no_python(spark, name):
     df = catalog.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -1,4 +1,4 @@
-"""Communities over every edge of the graph, beside the query whose SQL binds it to a part."""
+"""Communities over every edge of the graph."""
 from oracle_check import TESTDATA
 
 import __spark_entry__ as entry
@@ -21,5 +21,5 @@ def test_communities_of_the_whole_graph(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r["id"]: r["community_id"] for r in QUERIES["communities_graph"](spark, SF).collect()}
+    got = {r["id"]: r["community_id"] for r in QUERIES["communities"](spark, SF).collect()}
     assert len(edges) > 3000 and got == {x: find(x) for x in list(parent)}

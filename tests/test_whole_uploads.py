@@ -12,6 +12,5 @@ def test_first_upload_of_any_line(spark):
     for r in A.mentions(spark, f"{TESTDATA}/sf0.001").select("channel_id", "entity_id", "ts").collect():
         times[r["channel_id"], r["entity_id"]].add(r["ts"])
     want = {k: tuple(sorted(v)[:2]) for k, v in times.items() if len(v) > 1}
-    got = {(r["channel_id"], r["entity_id"]): (r["first_comment_at"], r["first_video_at"]) for r in entry.queries()["topic_gestation_all"](spark, f"{TESTDATA}/sf0.001").collect()}
-    print("rows", len(got), "by even lines", entry.queries()["topic_gestation"](spark, f"{TESTDATA}/sf0.001").count())
+    got = {(r["channel_id"], r["entity_id"]): (r["first_comment_at"], r["first_video_at"]) for r in entry.queries()["topic_gestation"](spark, f"{TESTDATA}/sf0.001").collect()}
     assert got == want
