@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scan
-from .common import table, whole, words
+from .common import let, table, whole, words
 
 MIN_LENGTH = 6
 MIN_REPEATS = 4
@@ -219,12 +219,16 @@ def periodic_runs(docs: DataFrame, min_length: int = MIN_LENGTH, min_repeats: in
 def repeated_from(text: Column, doc_id: Column) -> Column:
     """The text of the query: where crc32 of the id is divisible by ten, the words from a on repeat the p words at a."""
     h = F.crc32(doc_id.cast("string"))
-    own, g = words(text), F.floor(h / 10).cast("long")
-    n = F.size(own)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
-    source = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(own, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(source, " ")).otherwise(text)
+    g = F.floor(h / 10).cast("long")
+
+    def repeat(own: Column) -> Column:
+        n = F.size(own).cast("long")
+        a = g % n
+        span = F.struct(a.alias("a"), (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")).alias("p"))
+        copied = let(span, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(own, F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"]).cast("int"))))
+        return F.when(n > 0, F.array_join(copied, " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, let(words(text), repeat)).otherwise(text)
 
 
 def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
