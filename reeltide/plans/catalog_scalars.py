@@ -138,7 +138,9 @@ LOOPS = """cs AS MATERIALIZED (SELECT id, length(t) AS n, t FROM {0} WHERE lengt
   pb AS MATERIALIZED (SELECT pa.id, p, pa.i, pa.g FROM pa JOIN gr ON gr.id=pa.id AND gr.i=pa.i+p AND gr.g=pa.g),
   ab AS MATERIALIZED (SELECT pb.id, p, pb.i FROM pb JOIN gr ON gr.id=pb.id AND gr.i=pb.i+2*p AND gr.g=pb.g),
   ac AS MATERIALIZED (SELECT ab.id, p, i FROM ab JOIN {0} USING (id) WHERE substr(t,i+1,2*p)=substr(t,i+1+p,2*p)),
-  lo AS (SELECT DISTINCT id FROM (SELECT id, p, unnest(range(greatest(0, i-p+1), i+1)) AS s FROM ac) JOIN {0} USING (id)
+  ez AS MATERIALIZED (SELECT DISTINCT id FROM ac JOIN {0} USING (id)
+    WHERE i+4*p<=length(t) AND substr(t,i+1,3*p)=substr(t,i+1+p,3*p) AND NOT contains(substr(t,i+1,4*p), chr(10)) AND NOT contains(substr(t,i+1,4*p), chr(13))),
+  lo AS (SELECT id FROM ez UNION SELECT DISTINCT id FROM (SELECT id, p, unnest(range(greatest(0, i-p+1), i+1)) AS s FROM ac WHERE id NOT IN (SELECT id FROM ez)) JOIN {0} USING (id)
     WHERE s+4*p<=length(t) AND substr(t,s+1,3*p)=substr(t,s+1+p,3*p) AND NOT contains(substr(t,s+1,4*p), chr(10)) AND NOT contains(substr(t,s+1,4*p), chr(13)))"""
 LOOPED = "(" + " OR ".join([
     "id IN (SELECT id FROM lo)",
