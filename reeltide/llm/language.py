@@ -1,7 +1,7 @@
 """Language ID by cross-parsing: the language whose labelled text parses a document into the fewest phrases wins."""
 from __future__ import annotations
 
-from collections import Counter
+import random
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,12 +16,10 @@ from .common import table, whole
 SAMPLE_DOCS = 256
 SAMPLE_DOC_CHARS = 600
 REFERENCE_CHARS = 30_000
-#: Letters with an automaton edge of their own; rarer ones match nothing.
-ALPHABET = 60
-#: A text is parsed in stretches of so many letters, each beginning a phrase.
+#: A text is parsed in stretches of so many letters side by side; a stretch goes on with the phrase that the one before it left.
 STRETCH = 128
 UNKNOWN = "und"
-_SLICE_CHARS = 2 << 20
+_SLICE_CHARS = 1 << 19
 #: How sharply the share of bits a letter turns into a score.
 SHARPNESS = 6.0
 
@@ -32,7 +30,11 @@ def plain(text: str) -> str:
 
 
 class SuffixAutomaton:
-    """All substrings of a text of small letter codes; edges[state * width + code] is the next state or -1."""
+    """All substrings of a text of letter codes below width.
+
+    A state is a number; its edge for code c, if it has one, stands in the slot state + c of one table that all states share: owner
+    holds the state, ahead the next one. So the table grows with the edges, whatever the number of letters.
+    """
 
     def __init__(self, codes: list[int], width: int):
         edges, link, length = [{}], [-1], [0]
@@ -60,30 +62,63 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.width, self.size = width, len(codes)
-        self.edges = np.full(len(edges) * width, -1, np.int32)
+        self.size = len(codes)
+        self._pack(edges, width)
+
+    def _pack(self, edges: list[dict[int, int]], width: int) -> None:
+        """Give every state a number of its own whose slots are free, the states with most edges first; three of four slots stay free."""
+        rng = random.Random(5)
+        room = 4 * (sum(map(len, edges)) + len(edges))
+        state, used = [0] * len(edges), set()
+        owner = [-1] * (room + width)
+        for s in sorted(range(len(edges)), key=lambda s: -len(edges[s])):
+            at = rng.randrange(room)
+            while at in used or any(owner[at + c] >= 0 for c in edges[s]):
+                at = rng.randrange(room)
+            used.add(at)
+            state[s] = at
+            for c in edges[s]:
+                owner[at + c] = at
+        # behind a letter that no edge knows, and before a text, every letter begins a phrase: a number without slots
+        self.start = next(at for at in range(room) if at not in used)
+        self.owner, self.ahead, self.first = np.array(owner, np.int32), np.zeros(room + width, np.int32), np.full(width, self.start, np.int32)
         for s, out in enumerate(edges):
             for c, t in out.items():
-                self.edges[s * width + c] = t * width  # states are kept multiplied
+                self.ahead[state[s] + c] = state[t]
+        for c, t in edges[0].items():
+            self.first[c] = state[t]
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after one more letter, whether that letter begins a phrase)."""
+        slot = state + code
+        begins = self.owner[slot] != state
+        return np.where(begins, self.first[code], self.ahead[slot]), begins
+
+
+@lru_cache(maxsize=1)
+def lower_letters() -> np.ndarray:
+    """The lower-case code point of every letter; 0x110000 for what is no letter. A letter whose lower case is longer stands for itself."""
+    out = np.full(0x110000, 0x110000, np.int32)
+    for i in range(0x110000):
+        if chr(i).isalpha():
+            low = chr(i).lower()
+            out[i] = ord(low) if len(low) == 1 else i
+    return out
 
 
 class CrossParser:
-    """One automaton a language over a common alphabet. Code 0 pads, 1 is a letter outside the alphabet, 2 the blank."""
+    """One automaton a language over the letters of all references. Code 0 pads, 1 is a letter that no reference has, 2 the blank."""
 
     def __init__(self, references: tuple[tuple[str, str], ...]):
         self.languages = [name for name, _ in references]
-        common = Counter(c for _, text in references for c in text if c != " ")
-        letters = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.width = 3 + len(letters)
+        letters = sorted({c for _, text in references for c in text} - {" "})
         codes = {" ": 2, **{c: 3 + i for i, c in enumerate(letters)}}
-        self.code = np.full(0x110000, 2, np.uint8)
-        for i in range(0x110000):
-            if chr(i).isalpha():
-                low = chr(i).lower()
-                self.code[i] = codes.get(low, 1) if len(low) == 1 else 1
-        self.automata = [SuffixAutomaton([codes.get(c, 1) for c in text], self.width) for _, text in references]
-        for a in self.automata:  # a rare letter never matches, not even a rare letter of the reference
-            a.edges[1::self.width] = -1
+        own = np.ones(0x110000 + 1, np.int32)
+        own[-1] = 2
+        for c, code in codes.items():
+            own[ord(c)] = code
+        self.code = own[lower_letters()]
+        self.automata = [SuffixAutomaton([codes[c] for c in text], 3 + len(letters)) for _, text in references]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of every text in every language, and the number of its letters and single blanks."""
@@ -99,56 +134,95 @@ class CrossParser:
         n = np.bincount(row, minlength=len(texts))
         lanes = -(-n // STRETCH)
         lane_row = np.repeat(np.arange(len(texts)), lanes)
-        first = np.cumsum(lanes) - lanes
         within = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
-        grid = np.zeros((STRETCH, len(lane_row)), np.int32)
-        grid[within % STRETCH, first[row] + within // STRETCH] = code
+        lane = (np.cumsum(lanes) - lanes)[row] + within // STRETCH
+        filled = np.bincount(lane, minlength=len(lane_row))
+        order = np.argsort(-filled, kind="stable")  # long lanes first
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        grid = np.zeros((STRETCH, len(order)), np.int32)
+        grid[within % STRETCH, place[lane]] = code
+        filled, lane_row = filled[order], lane_row[order]
+        before = np.where(np.concatenate([[False], np.diff(np.repeat(np.arange(len(texts)), lanes)) == 0])[:len(order)][order], place[order - 1], -1)
         out = np.zeros((len(texts), len(self.languages)))
-        order = np.argsort(-np.bincount(first[row] + within // STRETCH, minlength=len(lane_row)), kind="stable")  # long lanes first
-        fill = (grid[:, order] > 0).sum(1)
         for k, a in enumerate(self.automata):
-            state, count = np.zeros(len(lane_row), np.int32), np.zeros(len(lane_row), np.int32)
-            for t in range(STRETCH):
-                m = fill[t]
-                if not m:
-                    break
-                c = grid[t, order[:m]] if m < len(order) else grid[t, order]
-                ahead = a.edges[state[:m] + c]
-                ends = ahead < 0
-                count[:m] += ends
-                state[:m] = np.where(ends, np.maximum(a.edges[c], 0), ahead)
-            out[:, k] = np.bincount(lane_row[order], count + 1, minlength=len(texts))
+            out[:, k] = np.bincount(lane_row, _begun(a, grid, filled, before), minlength=len(texts))
         return out, n
 
-    def bits(self, texts: list[str]) -> np.ndarray:
-        """Normalised phrases: bits a letter when each phrase is a pointer into the language's text."""
+    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised phrases: bits a letter when each phrase is a pointer into the language's text; and the number of letters."""
         found, n = self.phrases(texts)
         size = np.array([np.log2(max(2, a.size)) for a in self.automata])
-        return found * size / np.maximum(n, 1)[:, None]
+        return found * size / np.maximum(n, 1)[:, None], n
+
+
+def _begun(a: SuffixAutomaton, grid: np.ndarray, filled: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Phrases that begin inside every lane (a column of grid, filled from the top, long ones first); before is the lane it follows, or -1.
+
+    All lanes first begin a phrase. Then each lane whose predecessor left another state is walked again from that, beside its old
+    walk, until both agree, as they soon do; this is repeated until no lane is left with a wrong beginning.
+    """
+    state, count = np.full(len(filled), a.start, np.int32), np.zeros(len(filled), np.int64)
+    for t in range(STRETCH):
+        m = int(np.searchsorted(-filled, -t, side="left"))
+        if not m:
+            break
+        state[:m], begins = a.step(state[:m], grid[t, :m])
+        count[:m] += begins
+    entry = np.full(len(filled), a.start, np.int32)
+    while True:
+        wanted = np.where(before >= 0, state[before], a.start).astype(np.int32)
+        lanes = np.flatnonzero(wanted != entry)
+        if not len(lanes):
+            return count
+        old, new = entry[lanes], wanted[lanes]
+        entry[lanes] = new
+        live = np.arange(len(lanes))
+        for t in range(STRETCH):
+            live = live[(old[live] != new[live]) & (t < filled[lanes[live]])]
+            if not len(live):
+                break
+            code = grid[t, lanes[live]]
+            old[live], gone = a.step(old[live], code)
+            new[live], come = a.step(new[live], code)
+            count[lanes[live]] += come.astype(np.int64) - gone
+        live = np.flatnonzero(old != new)
+        state[lanes[live]] = new[live]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(references: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(references)
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """Reference text of every language: a hash-spread sample of its documents, bounded as stated above.
-
-    The sample is the document of the smallest hash in each of SAMPLE_DOCS buckets, found on id and language alone.
-    """
+def _some(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """_lang, _h, _t (middle) of the document of the smallest hash in each of SAMPLE_DOCS buckets of every language, found on id and language alone."""
     key = F.xxhash64(F.lit("lang"), F.col(id_col))
     some = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     chosen = some.select(F.col(lang_col).alias("_lang"), key.alias("_h")).groupBy("_lang", F.pmod("_h", F.lit(SAMPLE_DOCS)).alias("_b")).agg(F.min("_h").alias("_h"))
     middle = F.greatest(F.lit(1), F.expr(f"(length(`{text_col}`) - {SAMPLE_DOC_CHARS}) div 2"))
     texts_of = some.select(F.col(lang_col).alias("_lang"), key.alias("_h"), F.substring(F.col(text_col), middle, F.lit(SAMPLE_DOC_CHARS)).alias("_t"))
-    rows = texts_of.join(chosen.drop("_b"), ["_lang", "_h"], "left_semi")
+    return texts_of.join(chosen.drop("_b"), ["_lang", "_h"], "left_semi").distinct()
+
+
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
+    """Reference text of every language: a hash-spread sample of its documents, bounded as stated above."""
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows.distinct().collect(), key=lambda r: (r["_lang"], r["_h"], r["_t"])):
+    for r in sorted(_some(labelled, id_col, text_col, lang_col).collect(), key=lambda r: (r["_lang"], r["_h"], r["_t"])):
         texts.setdefault(r["_lang"], []).append(plain(r["_t"]))
     return tuple((lang, " ".join(t)[:REFERENCE_CHARS]) for lang, t in sorted(texts.items()))
 
 
+def usual_bits(labelled: DataFrame, references: tuple[tuple[str, str], ...], quantile: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """Bits a letter that this share of the texts of the language with the highest figure does not exceed; infinite without such texts.
+
+    Measured on a bounded sample, as in learn, of labelled documents; give those that the references were not taken from.
+    """
+    told = identify(_some(labelled, id_col, text_col, lang_col), references, "_t").filter("row._lang = lang_pred")
+    most = told.groupBy("lang_pred").agg(F.percentile_approx("bits", quantile).alias("b")).agg(F.max("b")).first()[0]
+    return float("inf") if most is None else most
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(shared.value)
@@ -160,17 +234,18 @@ def _predict(shared):
                 while end < len(texts) and (end == at or size + len(texts[end]) <= _SLICE_CHARS):
                     size += len(texts[end])
                     end += 1
-                bits = p.bits(texts[at:end])
+                bits, letters = p.bits(texts[at:end])
                 best = bits.argmin(1)
                 odds = np.exp(-SHARPNESS * (bits - bits.min(1, keepdims=True)))
                 part = b.slice(at, end - at)
-                yield pa.record_batch([part.column("row"), pa.array([p.languages[k] for k in best], pa.string()), pa.array(1 / odds.sum(1)), pa.array(bits.min(1)), part.column("_has")], names=["row", "lang", "sure", "bits", "has"])
+                yield pa.record_batch([part.column("row"), pa.array([p.languages[k] for k in best], pa.string()), pa.array(1 / odds.sum(1)), pa.array(bits.min(1)), pa.array(letters), part.column("_has")],
+                                      names=["row", "lang", "sure", "bits", "letters", "has"])
                 at = end
     return run
 
 
 def identify(docs: DataFrame, references: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
-    """row (all columns of docs), lang_pred, score (0 to 1), bits (a letter, of the best language).
+    """row (all columns of docs), lang_pred, score (0 to 1), bits (a letter, of the best language), letters (with single blanks).
 
     Ties go to the first language by name. A text without a letter, a null text, and any text if nothing was learned is
     `und` with score 0. Every whole text is parsed.
@@ -178,10 +253,10 @@ def identify(docs: DataFrame, references: tuple[tuple[str, str], ...], text_col:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole(text_col).alias("_t"))
     rows = rows.withColumn("_has", F.col("_t").rlike(r"\p{L}"))
     if not references:
-        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"))
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(0).cast("long").alias("letters"))
     shared = docs.sparkSession.sparkContext.broadcast(references)
-    told = rows.mapInArrow(_predict(shared), f"row {docs.schema.simpleString()}, lang string, sure double, bits double, has boolean")
-    return told.select("row", F.when(F.col("has"), F.col("lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("has"), F.col("sure")).otherwise(0.0).alias("score"), "bits")
+    told = rows.mapInArrow(_predict(shared), f"row {docs.schema.simpleString()}, lang string, sure double, bits double, letters long, has boolean")
+    return told.select("row", F.when(F.col("has"), F.col("lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("has"), F.col("sure")).otherwise(0.0).alias("score"), "bits", "letters")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -72,30 +72,68 @@ def test_language_odd(llm, odd, empty):
     assert language.identify(empty, references).count() == 0
 
 
-def phrases(text, reference, stretch=language.STRETCH):
-    count = 0
-    for at in range(0, len(text), stretch):
-        part, i = text[at:at + stretch], 0
-        while i < len(part):
-            n = 1
-            while i + n <= len(part) and part[i:i + n] in reference:
-                n += 1
-            i += max(1, n - 1)
-            count += 1
+def phrases(text, reference):
+    """Longest matches from left to right; a letter that the reference has not is a phrase."""
+    i, count = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n <= len(text) and text[i:i + n] in reference:
+            n += 1
+        i += max(1, n - 1)
+        count += 1
     return count
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("abc de", max_size=400), min_size=1, max_size=4), st.text("abcd ", min_size=3, max_size=60))
-def test_cross_parsing(texts, reference):
-    """Phrase counts of the automata against search in the reference text."""
-    reference = language.plain("abcde " + reference)
-    p = language.CrossParser((("x", reference), ("y", reference[::-1])))
-    found, n = p.phrases(texts)
-    for k, t in enumerate(texts):
-        t = re.sub(" +", " ", t).lstrip(" ")
-        assert n[k] == len(t)
-        assert found[k].tolist() == [phrases(t, reference), phrases(t, reference[::-1])]
+@pytest.mark.parametrize("stretch", [language.STRETCH, 5, 1])
+@settings(max_examples=30, deadline=None)
+@given(texts=st.lists(st.text("abc dex", max_size=400), min_size=1, max_size=4), reference=st.text("abcd ", min_size=3, max_size=60))
+def test_cross_parsing(stretch, texts, reference):
+    """Phrase counts of the automata against search in the reference text, however the text is cut into stretches."""
+    before, language.STRETCH = language.STRETCH, stretch
+    try:
+        reference = language.plain("abcde " + reference)
+        p = language.CrossParser((("x", reference), ("y", reference[::-1])))
+        found, n = p.phrases(texts)
+        for k, t in enumerate(texts):
+            t = re.sub(" +", " ", t).lstrip(" ")
+            assert n[k] == len(t)
+            assert found[k].tolist() == [phrases(t, reference), phrases(t, reference[::-1])]
+    finally:
+        language.STRETCH = before
+
+
+def test_long_phrases_over_stretches():
+    """A text that is one long passage of the reference stays one phrase over all its stretches, and a periodic one ends."""
+    rng = random.Random(2)
+    reference = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    p = language.CrossParser((("x", reference),))
+    found, _ = p.phrases([reference[1000:4000], reference[1000:4000] + "z" + reference[:300], "ab" * 4000])
+    assert found[:, 0].tolist() == [1, 3, phrases("ab" * 4000, reference)]
+
+
+def test_five_scripts(llm):
+    """Latin, Greek, Cyrillic, kana and Han, with more letters in all than any small table would hold."""
+    rng = random.Random(9)
+    scripts = {"el": range(0x3B1, 0x3CA), "en": range(0x61, 0x7B), "ja": range(0x3041, 0x3090), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x4E00 + 600)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randint(2, 6))) for _ in range(300)] for k, v in scripts.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    references = tuple((k, text(k, 4000)[:language.REFERENCE_CHARS]) for k in sorted(scripts))
+    rows = [(i, k, text(k, 60)) for i, k in enumerate(sorted(scripts) * 20)]
+    got = language.identify(llm.createDataFrame(rows, "doc_id long, lang string, text string"), references).collect()
+    assert all(r["lang_pred"] == r["row"]["lang"] and r["score"] > 0.9 and r["bits"] < 4 for r in got)
+
+
+def test_usual_bits(llm, empty):
+    """Texts of a language stay under its bound, random letters do not; without labelled texts there is no bound."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    references = (("xx", text(4000)),)
+    labelled = llm.createDataFrame([(i, text(80), "xx") for i in range(60)], "doc_id long, text string, lang string")
+    bound = language.usual_bits(labelled, references)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))
+    assert language.identify(llm.createDataFrame([(1, noise)], "doc_id long, text string"), references).first()["bits"] > 1.5 * bound
+    assert language.usual_bits(empty, references) == float("inf") == language.usual_bits(labelled, ())
 
 
 @settings(max_examples=60, deadline=None)
