@@ -214,7 +214,7 @@ def test_fingerprints_odd(odd, empty):
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
-    assert by[0][0]["fingerprint"] == by[1][0]["fingerprint"] == "0" * 64 and by[0][0]["n_chars"] == 0
+    assert by[0][0]["fingerprint"] == by[1][0]["fingerprint"] == "0" * 576 and by[0][0]["n_chars"] == 0
     assert len({r["fingerprint"] for r in by[5]} | {by[6][0]["fingerprint"]}) == 1
     assert all(0 <= r[k] <= 1 for r in got for k in ("near_edited", "near_next"))
 
@@ -227,6 +227,50 @@ def test_fingerprint_is_homomorphic(llm):
     r = frame.select((f.add(h(F.col("rest")), h(F.col("p"))) == h(F.col("t"))).alias("a"), (f.subtract(h(F.col("t")), h(F.col("p"))) == h(F.col("rest"))).alias("b"),
                      (h(F.col("t")) == h(F.col("other"))).alias("c"), (h(F.col("t")) == h(F.col("rest"))).alias("d")).first()
     assert (r["a"], r["b"], r["c"], r["d"]) == (True, True, True, False)
+    v = f.fingerprint_vector
+    r = frame.select((f.add(v(F.col("rest")), v(F.col("p"))) == v(F.col("t"))).alias("a"), (f.subtract(v(F.col("t")), v(F.col("p"))) == v(F.col("rest"))).alias("b"),
+                     (v(F.col("t")) == v(F.col("other"))).alias("c"), (v(F.col("t")) == v(F.col("rest"))).alias("d")).first()
+    assert (r["a"], r["b"], r["c"], r["d"]) == (True, True, True, False)
+
+
+def test_likeness_from_fingerprints(llm):
+    """The likeness columns follow from the two strings, which equal the vectors of the texts, and estimate the share of equal shingles."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+    f = fingerprints
+    rng = random.Random(8)
+    line = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(1, 30)))
+    texts = {i: "\n".join(line() for _ in range(rng.randint(1, 8))) for i in range(120)}
+    for i in range(0, 120, 3):  # the next document shares lines, in another order
+        own = texts[i + 1].split("\n")
+        texts[i] = "\n".join([*reversed(own), " \t ", *[line() for _ in range(i % 5)]])
+    frame = llm.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in f.fingerprints(frame).collect()}
+    vectors = {r["doc_id"]: r["v"] for r in frame.select("doc_id", f.fingerprint_vector(F.col("text")).alias("v")).collect()}
+    lanes = lambda x: [int(x[k:k + 8], 16) for k in range(0, len(x), 8)]
+    signs = lambda x: np.array([v - (v > 0x7FFFFFFF) * 0x100000000 for v in lanes(x)[f.LANES:]], float)
+
+    def near(x, y):
+        x, y = signs(x), signs(y)
+        gap = ((x - y) ** 2).sum()
+        return 1.0 if gap == 0 else min(1.0, max(0.0, 1 - gap / ((x ** 2).sum() + (y ** 2).sum())))
+
+    def shingles(text):
+        words = [w.split() for w in text.split("\n") if w.split()]
+        return Counter(tuple(w[i:i + 3]) for w in words for i in range(max(1, len(w) - 2)))
+
+    off = []
+    for i, r in got.items():
+        follow = got[(i - 1) % 120]
+        assert lanes(r["fingerprint"]) == vectors[i]
+        assert abs(r["near_edited"] - near(r["fingerprint"], r["edited_fingerprint"])) < 1e-12 and abs(r["near_next"] - near(r["fingerprint"], follow["fingerprint"])) < 1e-12
+        a, b = shingles(texts[i]), shingles(texts[(i - 1) % 120])
+        off.append(r["near_next"] - (1 - sum(((a - b) + (b - a)).values()) / (a.total() + b.total())))
+    assert abs(np.mean(off)) < 0.06 and np.sqrt(np.mean(np.square(off))) < 0.2
+    assert all((got[i + 1]["near_next"] == 1) == (i % 5 == 0) for i in range(0, 120, 3))
+    again = llm.createDataFrame([(r["fingerprint"],) for r in got.values()], "f string").select("f", f.to_hex(f.from_hex(F.col("f"))).alias("g")).filter("f <> g")
+    assert again.count() == 0
 
 
 def test_fingerprints_over_many_buckets(llm, monkeypatch):

@@ -141,7 +141,7 @@ def test_fingerprints(llm, documents):
         edited = text[:len(text) - half] + follow[:half]
         r = got[i]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        by_print.setdefault(r["fingerprint"], set()).add(tuple(sorted(x for x in text.split("\n") if x.strip(" "))))
+        by_print.setdefault(r["fingerprint"], set()).add(tuple(sorted(x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r"))))
         by_text.setdefault(text, set()).add(r["fingerprint"])
         near_edited.append(r["near_edited"])
         near_next.append(r["near_next"])
