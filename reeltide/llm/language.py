@@ -213,7 +213,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return tuple((lang, " ".join(t)[:REFERENCE_CHARS]) for lang, t in sorted(texts.items()))
 
 
-def usual_bits(labelled: DataFrame, references: tuple[tuple[str, str], ...], quantile: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+def usual_bits(labelled: DataFrame, references: tuple[tuple[str, str], ...], quantile: float = 0.9, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
     """Bits a letter that this share of the texts of the language with the highest figure does not exceed; infinite without such texts.
 
     Measured on a bounded sample, as in learn, of labelled documents; give those that the references were not taken from.
