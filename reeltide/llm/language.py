@@ -1,7 +1,6 @@
 """Language ID by cross-parsing: the language whose labelled text parses a document into the fewest phrases wins."""
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +17,10 @@ SAMPLE_DOC_CHARS = 600
 REFERENCE_CHARS = 30_000
 #: A text is parsed in stretches of so many letters side by side; a stretch goes on with the phrase that the one before it left.
 STRETCH = 128
+#: Lanes that are walked letter by letter instead of side by side.
+FEW_LANES = 64
 UNKNOWN = "und"
-_SLICE_CHARS = 1 << 19
+_SLICE_CHARS = 1 << 20
 #: How sharply the share of bits a letter turns into a score.
 SHARPNESS = 6.0
 
@@ -66,34 +67,42 @@ class SuffixAutomaton:
         self._pack(edges, width)
 
     def _pack(self, edges: list[dict[int, int]], width: int) -> None:
-        """Give every state a number of its own whose slots are free, the states with most edges first; three of four slots stay free."""
-        rng = random.Random(5)
-        room = 4 * (sum(map(len, edges)) + len(edges))
-        state, used = [0] * len(edges), set()
-        owner = [-1] * (room + width)
-        for s in sorted(range(len(edges)), key=lambda s: -len(edges[s])):
-            at = rng.randrange(room)
-            while at in used or any(owner[at + c] >= 0 for c in edges[s]):
-                at = rng.randrange(room)
-            used.add(at)
-            state[s] = at
-            for c in edges[s]:
-                owner[at + c] = at
+        """Give every state a number of its own whose slots are free; three of four slots stay free.
+
+        States with many edges go first. All states of about one number of edges try random places at once; those whose slots are taken,
+        or wanted by another one too, try again.
+        """
+        degree = np.array([len(e) for e in edges])
+        first = np.cumsum(degree) - degree
+        code = np.fromiter((c for e in edges for c in e), np.int64, degree.sum())
+        target = np.fromiter((t for e in edges for t in e.values()), np.int64, degree.sum())
+        rng = np.random.default_rng(5)
+        room = 4 * (len(code) + len(edges))
+        owner, used, claim = np.full(room + width, -1, np.int64), np.zeros(room, bool), np.full(room + width, -1, np.int64)
+        state = np.zeros(len(edges), np.int64)
+        size_class = np.ceil(np.log2(degree + 1))
+        for k in np.unique(size_class)[::-1]:
+            left = np.flatnonzero(size_class == k)
+            while len(left):
+                at, n = rng.integers(0, room, len(left)), degree[left]
+                which = np.repeat(np.arange(len(left)), n)
+                slots = at[which] + code[first[left][which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                claim[slots] = which
+                bad = np.bincount(which, (owner[slots] >= 0) | (claim[slots] != which), minlength=len(left)) > 0
+                claim[at] = np.arange(len(left))
+                fits = ~bad & ~used[at] & (claim[at] == np.arange(len(left)))
+                state[left[fits]] = at[fits]
+                used[at[fits]] = True
+                owner[slots[fits[which]]] = at[which][fits[which]]
+                left = left[~fits]
         # behind a letter that no edge knows, and before a text, every letter begins a phrase: a number without slots
-        self.start = next(at for at in range(room) if at not in used)
-        self.owner, self.ahead, self.first = np.array(owner, np.int32), np.zeros(room + width, np.int32), np.full(width, self.start, np.int32)
-        for s, out in enumerate(edges):
-            for c, t in out.items():
-                self.ahead[state[s] + c] = state[t]
+        self.start = int(np.flatnonzero(~used)[0])
+        slots = np.repeat(state, degree) + code
+        self.owner, self.ahead, self.first = owner, np.zeros(room + width, np.int64), np.full(width, self.start, np.int64)
+        self.ahead[slots] = state[target]
         for c, t in edges[0].items():
             self.first[c] = state[t]
 
-    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(states after one more letter, whether that letter begins a phrase)."""
-        slot = state + code
-        begins = self.owner[slot] != state
-        return np.where(begins, self.first[code], self.ahead[slot]), begins
-
 
 @lru_cache(maxsize=1)
 def lower_letters() -> np.ndarray:
@@ -118,7 +127,19 @@ class CrossParser:
         for c, code in codes.items():
             own[ord(c)] = code
         self.code = own[lower_letters()]
-        self.automata = [SuffixAutomaton([codes[c] for c in text], 3 + len(letters)) for _, text in references]
+        automata = [SuffixAutomaton([codes[c] for c in text], 3 + len(letters)) for _, text in references]
+        # one table for all languages: the numbers of an automaton begin where those of the one before it end
+        base = np.cumsum([0, *[len(a.owner) for a in automata]])
+        self.edge = np.concatenate([np.where(a.owner >= 0, (a.owner + at << 32) + a.ahead + at, -1) for a, at in zip(automata, base)])
+        self.first = np.stack([a.first + at for a, at in zip(automata, base)])
+        self.start = np.array([a.start + at for a, at in zip(automata, base)])
+        self.size = np.array([a.size for a in automata])
+
+    def step(self, language, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after one more letter, whether that letter begins a phrase)."""
+        found = self.edge[state + code] ^ (state << 32)
+        begins = found >> 32 != 0
+        return np.where(begins, self.first[language, code], found), begins
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of every text in every language, and the number of its letters and single blanks."""
@@ -144,50 +165,78 @@ class CrossParser:
         grid[within % STRETCH, place[lane]] = code
         filled, lane_row = filled[order], lane_row[order]
         before = np.where(np.concatenate([[False], np.diff(np.repeat(np.arange(len(texts)), lanes)) == 0])[:len(order)][order], place[order - 1], -1)
-        out = np.zeros((len(texts), len(self.languages)))
-        for k, a in enumerate(self.automata):
-            out[:, k] = np.bincount(lane_row, _begun(a, grid, filled, before), minlength=len(texts))
-        return out, n
+        begun = self._begun(grid, filled, before)
+        return np.stack([np.bincount(lane_row, own, minlength=len(texts)) for own in begun], axis=1), n
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases: bits a letter when each phrase is a pointer into the language's text; and the number of letters."""
         found, n = self.phrases(texts)
-        size = np.array([np.log2(max(2, a.size)) for a in self.automata])
-        return found * size / np.maximum(n, 1)[:, None], n
-
-
-def _begun(a: SuffixAutomaton, grid: np.ndarray, filled: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Phrases that begin inside every lane (a column of grid, filled from the top, long ones first); before is the lane it follows, or -1.
-
-    All lanes first begin a phrase. Then each lane whose predecessor left another state is walked again from that, beside its old
-    walk, until both agree, as they soon do; this is repeated until no lane is left with a wrong beginning.
-    """
-    state, count = np.full(len(filled), a.start, np.int32), np.zeros(len(filled), np.int64)
-    for t in range(STRETCH):
-        m = int(np.searchsorted(-filled, -t, side="left"))
-        if not m:
-            break
-        state[:m], begins = a.step(state[:m], grid[t, :m])
-        count[:m] += begins
-    entry = np.full(len(filled), a.start, np.int32)
-    while True:
-        wanted = np.where(before >= 0, state[before], a.start).astype(np.int32)
-        lanes = np.flatnonzero(wanted != entry)
-        if not len(lanes):
-            return count
-        old, new = entry[lanes], wanted[lanes]
-        entry[lanes] = new
-        live = np.arange(len(lanes))
+        return found * np.log2(np.maximum(2, self.size)) / np.maximum(n, 1)[:, None], n
+
+    def _begun(self, grid: np.ndarray, filled: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that begin inside every lane, for every language. A lane is a column of grid, filled from the top, long ones first; before is
+        the lane it follows, or -1.
+
+        All lanes first begin a phrase. Then each lane whose predecessor left another state is walked again from that, beside its old
+        walk, until both agree, as they soon do; this is repeated until no lane is left with a wrong beginning. Once only few lanes are left,
+        as in long texts of one repeated passage, each is followed letter by letter through the lanes behind it.
+        """
+        after = np.full(len(filled), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        every = np.arange(len(self.languages))[:, None]
+        start = self.start[:, None]
+        state = np.repeat(start, len(filled), axis=1)
+        count = np.zeros(state.shape, np.int64)
         for t in range(STRETCH):
-            live = live[(old[live] != new[live]) & (t < filled[lanes[live]])]
-            if not len(live):
+            m = int(np.searchsorted(-filled, -t, side="left"))
+            if not m:
                 break
-            code = grid[t, lanes[live]]
-            old[live], gone = a.step(old[live], code)
-            new[live], come = a.step(new[live], code)
-            count[lanes[live]] += come.astype(np.int64) - gone
-        live = np.flatnonzero(old != new)
-        state[lanes[live]] = new[live]
+            state[:, :m], begins = self.step(every, state[:, :m], grid[t, :m])
+            count[:, :m] += begins
+        entry = np.repeat(start, len(filled), axis=1)
+        while True:
+            wanted = np.where(before >= 0, state[:, before], start)
+            k, lane = np.nonzero(wanted != entry)
+            if not len(k):
+                return count
+            if len(k) <= FEW_LANES:
+                for i, at in zip(k.tolist(), lane.tolist()):
+                    self._follow(i, at, int(state[i, before[at]]), (state[i], entry[i], count[i]), grid, filled, after)
+                continue
+            old, new = entry[k, lane], wanted[k, lane]
+            entry[k, lane] = new
+            live = np.arange(len(k))
+            for t in range(STRETCH):
+                live = live[(old[live] != new[live]) & (t < filled[lane[live]])]
+                if not len(live):
+                    break
+                at, code = k[live], grid[t, lane[live]]
+                old[live], gone = self.step(at, old[live], code)
+                new[live], come = self.step(at, new[live], code)
+                count[at, lane[live]] += come.astype(np.int64) - gone
+            live = np.flatnonzero(old != new)
+            state[k[live], lane[live]] = new[live]
+
+    def _follow(self, language: int, lane: int, new: int, own: tuple[np.ndarray, np.ndarray, np.ndarray], grid: np.ndarray, filled: np.ndarray, after: np.ndarray) -> None:
+        """Walk a lane, and those behind it, that begins in state new, until the walk agrees with the old one. own: states, entries and counts."""
+        state, entry, count = own
+        edge, first = memoryview(self.edge), self.first[language].tolist()
+        while lane >= 0 and entry[lane] != new:
+            old, more = int(entry[lane]), 0
+            entry[lane] = new
+            for c in grid[:filled[lane], lane].tolist():
+                if old == new:
+                    break
+                found = edge[old + c] ^ old << 32
+                old, gone = (first[c], 1) if found >> 32 else (found, 0)
+                found = edge[new + c] ^ new << 32
+                new, come = (first[c], 1) if found >> 32 else (found, 0)
+                more += come - gone
+            count[lane] += more
+            if old == new:
+                return
+            state[lane] = new
+            lane = int(after[lane])
 
 
 @lru_cache(maxsize=1)

@@ -84,12 +84,13 @@ def phrases(text, reference):
     return count
 
 
-@pytest.mark.parametrize("stretch", [language.STRETCH, 5, 1])
+@pytest.mark.parametrize("stretch, few", [(language.STRETCH, language.FEW_LANES), (5, language.FEW_LANES), (5, 0), (1, 2)])
 @settings(max_examples=30, deadline=None)
 @given(texts=st.lists(st.text("abc dex", max_size=400), min_size=1, max_size=4), reference=st.text("abcd ", min_size=3, max_size=60))
-def test_cross_parsing(stretch, texts, reference):
-    """Phrase counts of the automata against search in the reference text, however the text is cut into stretches."""
-    before, language.STRETCH = language.STRETCH, stretch
+def test_cross_parsing(stretch, few, texts, reference):
+    """Phrase counts of the automata against search in the reference text, however the text is cut into stretches and lanes are walked."""
+    before = language.STRETCH, language.FEW_LANES
+    language.STRETCH, language.FEW_LANES = stretch, few
     try:
         reference = language.plain("abcde " + reference)
         p = language.CrossParser((("x", reference), ("y", reference[::-1])))
@@ -99,7 +100,7 @@ def test_cross_parsing(stretch, texts, reference):
             assert n[k] == len(t)
             assert found[k].tolist() == [phrases(t, reference), phrases(t, reference[::-1])]
     finally:
-        language.STRETCH = before
+        language.STRETCH, language.FEW_LANES = before
 
 
 def test_long_phrases_over_stretches():
