@@ -5,7 +5,9 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,32 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_held: list = []
+
+
+def forget() -> None:
+    """Drop what this process remembers for held functions, and give free Arrow memory back."""
+    while _held:
+        _held.pop().cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
+def held(make: Callable) -> Callable:
+    """make, whose result a worker remembers until it is asked for that of another held function, or told to forget.
+
+    Spark hands one Python worker from stage to stage; the tables of one operator must not stay beside those of the next.
+    """
+    memo = lru_cache(maxsize=1)(make)
+
+    @wraps(make)
+    def ask(*arguments):
+        if _held != [memo]:
+            forget()
+            _held.append(memo)
+        return memo(*arguments)
+    return ask
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import held, table, whole
 
 #: The bounded sample of labelled text: per language at most so many documents, and characters of each, and in all.
 SAMPLE_DOCS = 256
@@ -239,7 +239,7 @@ class CrossParser:
             lane = int(after[lane])
 
 
-@lru_cache(maxsize=1)
+@held
 def parser(references: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(references)
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import held, table, whole
 from .tokens import byte_chars
 
 WORD_BPE = "word_bpe_49k.json"
@@ -77,7 +77,7 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.encode().split())) + end
 
 
-@lru_cache(maxsize=2)
+@held
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 

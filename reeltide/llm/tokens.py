@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -13,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import held, table, whole
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
@@ -155,7 +154,7 @@ class Encoder:
         return pa.array([data[a:z].decode(errors="replace") for a, z in zip(np.concatenate([[0], stops[:-1]]), stops)], pa.string())
 
 
-@lru_cache(maxsize=4)
+@held
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
