@@ -92,7 +92,7 @@ QUERIES = {
                                                     rnd(S.energy("loudness_lufs", "speech_probability"), 6).alias("energy")),
     "uploaded_at": lambda s, d: A.videos(s, d).select("id", T.uploaded_at(
         F.when(F.col("id") % 5 == 0, "notadate").otherwise(F.date_format("uploaded_at", "yyyyMMdd"))).alias("uploaded")),
-    "vector_hash": lambda s, d: A.vectors(s, d).select("id", T.vector_hash(F.transform("vector", lambda x: F.floor(x * 1000))).alias("hash")),
+    "vector_hash": lambda s, d: A.vectors(s, d).select("id", T.vector_hash(F.transform("vector", lambda x: F.floor(x * F.lit(1000).cast("float")))).alias("hash")),
     "node_id_label": lambda s, d: A.videos(s, d).select(
         "id", T.node_id(F.when(F.col("id") % 2 == 0, ""), F.when(F.col("id") % 3 == 0, F.col("title")), "id").alias("node_id"),
         T.node_label(F.lit("Video"), F.when(F.col("id") % 4 == 0, F.repeat("title", 6)), F.when(F.col("id") % 4 == 1, F.col("platform"))).alias("label")),
