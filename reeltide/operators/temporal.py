@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.numbers import clip, rnd, std0, whole_number_seconds
 from ..functions.scores import energy
 from ..session import cut_lineage
-from .joins import cells, within
+from .joins import DENSE, within
 from .ordered import exact_quantile, time_bucket, with_position, with_previous, with_running
 
 HOUR, DAY, WEEK = 3600.0, 86400.0, 604800.0
@@ -117,13 +117,18 @@ def stale_channels(channels, as_of, limit=20):
 # ---- videos: curves ----------------------------------------------------------------------
 
 def _curve(spans: DataFrame, durations: DataFrame, width: float, kind: str) -> DataFrame:
-    """Dense buckets with the largest value of the spans that touch them, 0 where none does."""
-    n = F.greatest(F.floor(F.col("duration_s") / width), F.lit(1))
-    grid = durations.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("bucket"))
-    touched = spans.select("video_id", cells("start_time", "end_time", width).alias("bucket"), "v")
-    top = touched.groupBy("video_id", "bucket").agg(F.max("v").alias("v"))
-    return grid.join(top, ["video_id", "bucket"], "left").select(
-        "video_id", F.lit(kind).alias("curve_type"), "bucket", F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0)).alias("value"))
+    """Dense buckets with the largest value of the spans that touch them, 0 where none does.
+
+    Empty buckets and touched ones are rows of one grouping, so no dense side is joined.
+    """
+    n = durations.select("video_id", F.greatest(F.floor(F.col("duration_s") / width), F.lit(1)).alias("n"))
+    grid = n.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("bucket"), F.lit(0.0).alias("v"))
+    lo, hi = time_bucket("start_time", width), time_bucket("end_time", width)
+    s = spans.filter("start_time is not null and v > 0").select("video_id", lo.alias("lo"), F.greatest(lo, hi).alias("hi"), F.col("v").cast("double").alias("v"))
+    s = s.join(n, "video_id").filter("lo < n and hi >= 0")
+    inside = F.sequence(F.greatest("lo", F.lit(0)), F.least("hi", F.col("n") - 1))
+    both = grid.unionByName(s.select("video_id", F.explode(inside).alias("bucket"), "v"))
+    return both.groupBy("video_id", "bucket").agg(F.max("v").alias("value")).select("video_id", F.lit(kind).alias("curve_type"), "bucket", "value")
 
 
 def speech_rate_curve(segments: DataFrame, durations: DataFrame, width: float = 5.0) -> DataFrame:
@@ -167,7 +172,7 @@ def sliding_windows(measures: DataFrame, durations: DataFrame, values: list[str]
     covered = F.filter(F.sequence(own - math.ceil(width / hop), own), lambda k: (k >= 0) & (k * hop <= F.col(at)) & (F.col(at) < k * hop + width))
     parts = measures.filter(F.col(at).isNotNull()).select(key, F.explode(covered).alias("k"), *values).groupBy(key, "k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"mean_{v}") for v in values])
     start = F.col("k") * hop
-    return frame.join(parts, [key, "k"], "left").select(key, start.alias("start_time"), F.least(start + width, F.col("duration_s")).alias("end_time"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[f"mean_{v}" for v in values])
+    return frame.join(parts.hint(DENSE), [key, "k"], "left").select(key, start.alias("start_time"), F.least(start + width, F.col("duration_s")).alias("end_time"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[f"mean_{v}" for v in values])
 
 
 def silence(audio: DataFrame, durations: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -187,12 +192,12 @@ def silence(audio: DataFrame, durations: DataFrame, threshold: float = 0.1) -> D
 def derived_metrics(speech: DataFrame, energy_: DataFrame) -> DataFrame:
     """Ramp, decay and pacing from the dense curves."""
     n = energy_.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("em"), F.stddev_pop("value").alias("es"))
-    q = energy_.join(n, "video_id").groupBy("video_id").agg(
+    q = energy_.hint(DENSE).join(n, "video_id").groupBy("video_id").agg(
         F.first("n").alias("n"), F.first("em").alias("em"), F.first("es").alias("es"),
         F.avg(F.when(F.col("bucket") < F.floor(F.col("n") / 4), F.col("value"))).alias("q1"),
         F.avg(F.when(F.col("bucket") >= F.floor(F.col("n") * 3 / 4), F.col("value"))).alias("q4"))
     m = speech.groupBy("video_id").agg(F.count(F.lit(1)).alias("sn"))
-    h = speech.join(m, "video_id").groupBy("video_id").agg(
+    h = speech.hint(DENSE).join(m, "video_id").groupBy("video_id").agg(
         F.first("sn").alias("sn"), F.avg(F.when(F.col("bucket") < F.floor(F.col("sn") / 2), F.col("value"))).alias("h1"),
         F.avg(F.when(F.col("bucket") >= F.floor(F.col("sn") / 2), F.col("value"))).alias("h2"))
     j = q.join(h, "video_id", "left")
@@ -207,12 +212,12 @@ def derived_metrics(speech: DataFrame, energy_: DataFrame) -> DataFrame:
 def highlights(speech: DataFrame, energy_: DataFrame, rate_hz: float = 0.5, first: int = 20) -> DataFrame:
     """First peaks of energy plus speech, bucket by bucket, above the 85th percentile."""
     n = energy_.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 10").select("video_id")
-    both = energy_.join(n, "video_id", "left_semi").select("video_id", "bucket", "value").join(
-        speech.select("video_id", "bucket", F.col("value").alias("s")), ["video_id", "bucket"])
+    both = energy_.hint(DENSE).join(n, "video_id", "left_semi").select("video_id", "bucket", "value").join(
+        speech.select("video_id", "bucket", F.col("value").alias("s")).hint(DENSE), ["video_id", "bucket"])
     both = cut_lineage(both.select("video_id", "bucket", rnd(F.col("value") + F.col("s"), 9).alias("v")))
     cut = exact_quantile(both, "video_id", "v", 0.85, "threshold")
     from .ordered import top_n_per_key
-    peaks = both.join(cut, "video_id").filter(F.col("v") > F.col("threshold") + 1e-9)
+    peaks = both.hint(DENSE).join(cut, "video_id").filter(F.col("v") > F.col("threshold") + 1e-9)
     prob = F.least(F.lit(1.0), (F.col("v") - F.col("threshold")) / F.greatest("threshold", F.lit(0.01)))
     peaks = peaks.select("video_id", "bucket", rnd(F.col("bucket") / rate_hz, 3).alias("timestamp"), rnd(prob, 3).alias("probability"))
     return top_n_per_key(peaks, "video_id", [F.asc("bucket")], first).drop("bucket")
@@ -222,7 +227,7 @@ def info_density(speech: DataFrame, energy_: DataFrame, durations: DataFrame, sp
     """Density per minute of video from both curves."""
     def by_minute(curve, rate, name):
         minute = F.floor((F.col("bucket") + 1e-9) / (60 * rate)).cast("long")
-        return curve.groupBy("video_id", minute.alias("minute")).agg(F.avg("value").alias(name))
+        return curve.groupBy("video_id", minute.alias("minute")).agg(F.avg("value").alias(name)).hint(DENSE)
     count = F.greatest(F.floor(F.col("duration_s") / 60), F.lit(1))
     grid = durations.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("minute"))
     j = grid.join(by_minute(speech, speech_rate, "s"), ["video_id", "minute"], "left").join(by_minute(energy_, energy_rate, "e"), ["video_id", "minute"], "left")
@@ -273,23 +278,36 @@ def production_curve(videos: DataFrame) -> DataFrame:
 # ---- declared series ---------------------------------------------------------------------
 
 def seasonal(uploads: DataFrame, lags: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
-    """Autocorrelation of dense daily counts at a few lags, peak weekday and hour."""
-    daily = uploads.groupBy("channel_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("c"))
+    """Autocorrelation of dense daily counts at a few lags, peak weekday and hour.
+
+    Days without uploads count as zeros, which add nothing to the sums of a correlation, so only days with uploads are rows.
+    """
+    daily = uploads.groupBy("channel_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     span = daily.groupBy("channel_id").agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
-    grid = span.select("channel_id", F.explode(F.sequence("d0", "d1")).alias("day"))
-    dense = grid.join(daily, ["channel_id", "day"], "left").select("channel_id", "day", F.coalesce("c", F.lit(0)).cast("double").alias("c"))
-    out = span.select("channel_id", (F.datediff("d1", "d0") + 1).alias("days"))
+    span = span.withColumn("days", F.datediff("d1", "d0") + 1)
+
+    def sums(lag):
+        later, earlier = F.col("day") >= F.date_add("d0", lag), F.col("day") <= F.date_sub("d1", lag)
+        return [F.coalesce(F.sum(F.when(w, x)), F.lit(0.0)).alias(f"{n}_{lag}") for n, w, x in (
+            ("y", later, F.col("c")), ("yy", later, F.col("c") * F.col("c")), ("x", earlier, F.col("c")), ("xx", earlier, F.col("c") * F.col("c")))]
+
+    out = daily.join(span, "channel_id").groupBy("channel_id").agg(F.first("days").alias("days"), *[x for lag in lags for x in sums(lag)])
+    past = daily.select("channel_id", F.explode(F.array(*[F.lit(lag) for lag in lags])).alias("lag"), "day", F.col("c").alias("p"))
+    met = past.select("channel_id", "lag", F.expr("date_add(day, lag)").alias("day"), "p").hint(DENSE).join(daily, ["channel_id", "day"])
+    met = met.groupBy("channel_id").agg(*[F.sum(F.when(F.col("lag") == lag, F.col("c") * F.col("p"))).alias(f"xy_{lag}") for lag in lags])
+    out = out.join(met, "channel_id", "left")
     for lag in lags:
-        past = dense.select("channel_id", F.date_add("day", lag).alias("day"), F.col("c").alias("p"))
-        pair = dense.join(past, ["channel_id", "day"]).groupBy("channel_id").agg(F.corr("c", "p").alias("r"))
-        out = out.join(pair, "channel_id", "left").withColumn(
-            f"acf_{lag}", F.when(F.col("days") >= lag + 2, rnd(F.when(~F.isnan("r"), F.col("r")), 4))).drop("r")
+        n, (x, y, xx, yy) = F.col("days") - lag, [F.col(f"{s}_{lag}") for s in ("x", "y", "xx", "yy")]
+        spread = F.sqrt(n * xx - x * x) * F.sqrt(n * yy - y * y)
+        r = (n * F.coalesce(f"xy_{lag}", F.lit(0.0)) - x * y) / F.nullif(spread, F.lit(0.0))
+        out = out.withColumn(f"acf_{lag}", F.when(F.col("days") >= lag + 2, rnd(r, 4)))
+    out = out.select("channel_id", *[f"acf_{lag}" for lag in lags])
     when = uploads.groupBy("channel_id", F.weekday("ts").alias("d")).agg(F.count(F.lit(1)).alias("c")).groupBy("channel_id").agg(
         F.min_by("d", F.struct(-F.col("c"), F.col("d"))).cast("long").alias("peak_weekday"))
     hour = uploads.groupBy("channel_id", F.hour("ts").alias("h")).agg(F.count(F.lit(1)).alias("c")).groupBy("channel_id").agg(
         F.min_by("h", F.struct(-F.col("c"), F.col("h"))).cast("long").alias("peak_hour"))
     strength = F.greatest(F.lit(0.0), *[F.coalesce(f"acf_{lag}", F.lit(0.0)) for lag in lags])
-    return out.drop("days").withColumn("strength", strength).join(when, "channel_id").join(hour, "channel_id")
+    return out.withColumn("strength", strength).join(when, "channel_id").join(hour, "channel_id")
 
 
 def growth(snapshots: DataFrame, value: str = "subscriber_count") -> DataFrame:
