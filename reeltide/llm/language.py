@@ -262,12 +262,13 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return tuple((lang, " ".join(t)[:REFERENCE_CHARS]) for lang, t in sorted(texts.items()))
 
 
-def usual_bits(labelled: DataFrame, references: tuple[tuple[str, str], ...], quantile: float = 0.9, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+def usual_bits(labelled: DataFrame, references: tuple[tuple[str, str], ...], quantile: float = 0.9, text_col: str = "text", lang_col: str = "lang") -> float:
     """Bits a letter that this share of the texts of the language with the highest figure does not exceed; infinite without such texts.
 
-    Measured on a bounded sample, as in learn, of labelled documents; give those that the references were not taken from.
+    Measured on every whole text of the labelled documents; give those that the references were not taken from.
     """
-    told = identify(_some(labelled, id_col, text_col, lang_col), references, "_t").filter("row._lang = lang_pred")
+    texts = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_t"))
+    told = identify(texts, references, "_t").filter("row._lang = lang_pred")
     most = told.groupBy("lang_pred").agg(F.percentile_approx("bits", quantile).alias("b")).agg(F.max("b")).first()[0]
     return float("inf") if most is None else most
 
