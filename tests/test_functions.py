@@ -1,4 +1,6 @@
 """Column functions at the borders of their rules."""
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,15 @@ def test_posted(spark):
     assert str(value(spark, T.parse_posted(F.lit("1704067200")))) == "2024-01-01 00:00:00"
     assert str(value(spark, T.parse_posted(F.lit("2024-01-01T00:00:00Z")))) == "2024-01-01 00:00:00"
     assert value(spark, T.parse_posted(F.lit("soon"))) is None
+
+
+def test_norm_is_worked_out_once(spark):
+    """The cost of a scaled vector grows with its length, not with the square of it."""
+    from pyspark.sql import functions as F
+    from reeltide.functions.scores import l2_normalize
+    df = spark.range(300).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: (F.col("id") + i).cast("double")).alias("v"))
+    start = time.time()
+    got = df.select(F.max(F.abs(F.aggregate(l2_normalize("v"), F.lit(0.0), lambda s, x: s + x * x) - 1))).first()[0]
+    assert got < 1e-9 and time.time() - start < 30
+    odd = spark.createDataFrame([(None,), ([],), ([0.0, 0.0],), ([3.0, None, 4.0],)], "v array<double>").select(l2_normalize("v")).collect()
+    assert [r[0] for r in odd] == [None, [], [0.0, 0.0], [3.0, None, 4.0]]
