@@ -193,24 +193,30 @@ def intro_outro(prints: DataFrame) -> DataFrame:
 
 def linguistic_profile(segments: DataFrame, common: int = 5000, fillers=None, hedges=None) -> DataFrame:
     """Language switching, word use and speed of each video."""
-    s = segments.select("video_id", "id", "start_time", "end_time", "language", T.words("text").alias("w"))
+    said = segments.withColumn("w", T.words("text"))
+    # words are counted before the rows are dealt, so no text travels with them
+    s = said.select("video_id", "id", "start_time", "end_time", "language", F.size("w").alias("words"),
+                    T.count_words_in(F.col("w"), fillers or L.STYLE_FILLERS).alias("fillers"), T.count_words_in(F.col("w"), hedges or L.STYLE_HEDGES).alias("hedges"))
     s = with_previous(s, "video_id", ["start_time", "id"], time_bucket("start_time", 600), ["language"])
     base = s.groupBy("video_id").agg(
         F.count_if(F.col("prev.language") != F.col("language")).alias("code_switches"), F.count_distinct("language").alias("languages"),
-        F.sum(T.count_words_in(F.col("w"), fillers or L.STYLE_FILLERS)).alias("filler_count"), F.sum(T.count_words_in(F.col("w"), hedges or L.STYLE_HEDGES)).alias("hedge_count"),
-        F.sum(F.size("w")).alias("words"), F.max("end_time").alias("len"))
-    counts = s.select("video_id", F.explode("w").alias("word")).groupBy("video_id", "word").agg(F.count(F.lit(1)).alias("c"))
+        F.sum("fillers").alias("filler_count"), F.sum("hedges").alias("hedge_count"), F.sum("words").alias("words"), F.max("end_time").alias("len"))
+    counts = said.select("video_id", F.explode("w").alias("word")).groupBy("video_id", "word").agg(F.count(F.lit(1)).alias("c"))
     top = counts.groupBy("word").agg(F.sum("c").alias("t")).orderBy(F.desc("t"), "word").limit(common).select("word", F.lit(1).alias("common"))
-    counts = counts.join(top, "word", "left")
     # rank of a frequency = words above it + its place among equal ones; equal frequencies are handled as one block
-    freq = counts.groupBy("video_id", "c").agg(F.count(F.lit(1)).alias("k"))
+    freq = counts.join(top, "word", "left").groupBy("video_id", "c").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("common").isNull()).alias("rare"))
     from pyspark.sql import Window
     above = Window.partitionBy("video_id").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
     freq = freq.withColumn("r0", F.coalesce(F.sum("k").over(above), F.lit(0)))
-    ranks = freq.select("video_id", "c", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("i"), "r0")
-    zipf = ranks.groupBy("video_id").agg(F.regr_slope(F.log("c"), F.log(F.col("r0") + F.col("i"))).alias("slope"))
-    use = counts.groupBy("video_id").agg(F.count(F.lit(1)).alias("unique_words"), F.count_if(F.col("common").isNull()).alias("rare_words"))
-    j = base.join(use, "video_id", "left").join(zipf, "video_id", "left").fillna(0, ["unique_words", "rare_words"])
+    # one row per rank is spelled out with the block it belongs to, the first of them carries its sums
+    ranks = freq.select("video_id", "c", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("i"), "r0", "k", "rare")
+    first = F.col("i") == 1
+    use = ranks.groupBy("video_id").agg(F.sum(F.when(first, F.col("k"))).alias("unique_words"), F.sum(F.when(first, F.col("rare"))).alias("rare_words"),
+                                        F.regr_slope(F.log("c"), F.log(F.col("r0") + F.col("i"))).alias("slope"))
+    # the null-safe key keeps a filter out of the counting, which both uses of the counts share; a video without a number has no words of its own
+    use = use.withColumnRenamed("video_id", "of").withColumn("known", F.col("of").isNotNull())
+    j = base.join(use, F.col("video_id").eqNullSafe(F.col("of")), "left")
+    j = j.withColumns({x: F.when(F.col("known"), F.col(x)) for x in ("unique_words", "rare_words", "slope")}).fillna(0, ["unique_words", "rare_words"])
     return j.select(
         "video_id", "code_switches", "languages", "filler_count", "hedge_count", "unique_words", rnd(F.col("unique_words") / F.greatest("words", F.lit(1)), 4).alias("type_token_ratio"),
         "rare_words", rnd(F.col("slope") + 1, 3).alias("zipf_deviation"), rnd(F.col("words") / F.greatest(F.col("len") / 60, F.lit(1.0)), 2).alias("wpm"))
