@@ -18,6 +18,8 @@ NO_LETTER = np.zeros(256, bool)
 NO_LETTER[:128] = [not chr(i).isalpha() for i in range(128)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes hashed at a time (a longer word is hashed alone); the arrays of the work hold eight bytes for each.
+HASHED_BYTES = 1 << 18
 
 
 @lru_cache(maxsize=8)
@@ -84,9 +86,19 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray = B
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word's bytes."""
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     p, inverse = _powers(BASE, len(data) + 1)
     c = np.zeros(len(data) + 1, U)
     np.cumsum(_byte_values()[data] * p[:len(data)], out=c[1:])
     return mix((c[ends] - c[starts]) * inverse[starts] + (ends - starts).astype(U))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word's bytes; a hash does not depend on where the word stands, so spans of words are hashed one after the other."""
+    out, at = np.zeros(len(starts), U), 0
+    while at < len(starts):
+        lo = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, lo + HASHED_BYTES, side="right")))
+        out[at:to] = _span_hashes(data[lo:ends[to - 1]], starts[at:to] - lo, ends[at:to] - lo)
+        at = to
+    return out

@@ -17,6 +17,8 @@ ANCHOR = 8
 #: Bits of the filter of repeated anchors: at most 16 MB. More anchors only let more windows through.
 MAX_FILTER_BITS = 27
 WINDOWS_A_BUCKET = 500_000
+#: Bytes of text whose anchors are counted at a time; Spark adds the counts up.
+COUNTED_BYTES = 1 << 20
 _LAST_ID = (1 << 63) - 1
 
 
@@ -44,7 +46,7 @@ def _windows(data, offsets, window):
 def _anchor_counts(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, data, offsets in scan.slices(b.column("_t")):
+            for _, _, data, offsets in scan.slices(b.column("_t"), COUNTED_BYTES):
                 _, _, _, _, anchor, place = _windows(data, offsets, window)
                 if len(anchor):
                     new = np.concatenate([[True], place[1:] != place[:-1]])
