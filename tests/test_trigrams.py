@@ -28,8 +28,9 @@ def test_trigrams_equal_those_of_the_whole_text(spark):
         assert {tuple(r)[:4]: r["count"] for r in found} == want
 
 
-def test_meta_quality_orders_no_whole_segments(spark):
-    plan = catalog.queries()["meta_quality"](spark, f"{TESTDATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert not any(re.search(r"\bw#", x) for x in plan.split("\n") if "Window" in x or "Join" in x)
-    # no function of a text is worked out anew for every word
-    assert len(re.findall(r"split\(lower\(", plan)) == len(re.findall(r"explode\(array\(array_remove\(split\(lower\(", plan)) > 0
+def test_no_whole_segments_are_ordered(spark):
+    for name in ("meta_quality", "full_report"):
+        plan = catalog.queries()[name](spark, f"{TESTDATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(re.search(r"\bw#", x) for x in plan.split("\n") if "Window" in x or "Join" in x), name
+        # no function of a text is worked out anew for every word
+        assert len(re.findall(r"split\(lower\(", plan)) == len(re.findall(r"explode\(array\(array_remove\(split\(lower\(", plan)) > 0, name
