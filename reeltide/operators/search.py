@@ -15,6 +15,8 @@ from .ordered import time_bucket, top_n_per_key, with_neighbours
 
 MODALITIES = list(L.FUSION_WEIGHTS)
 KEY = ["query_id", "video_id", "bucket"]
+#: Found keys are broadcast up to so many.
+FOUND_KEYS = 1_000_000
 
 
 # ---- query understanding -----------------------------------------------------------------
@@ -104,10 +106,14 @@ def add_comment_scores(entries: DataFrame, comment_hits: DataFrame) -> DataFrame
 
 
 def add_entity_overlap(entries: DataFrame, query_entities: DataFrame, video_entities: DataFrame) -> DataFrame:
-    """query_entities(query_id, entity), video_entities(video_id, entity): share of the query's entities the video mentions."""
+    """query_entities(query_id, entity), video_entities(video_id, entity): share of the query's entities the video mentions.
+
+    Only pairs of query and video with an entry are looked up, not every query with all videos that share a name with it.
+    """
     q = query_entities.distinct()
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hit = q.join(video_entities.distinct(), "entity").groupBy("query_id", "video_id").agg(F.count(F.lit(1)).alias("m"))
+    asked = entries.select("query_id", "video_id").distinct().join(q, "query_id")
+    hit = asked.join(video_entities.distinct(), ["video_id", "entity"]).groupBy("query_id", "video_id").agg(F.count(F.lit(1)).alias("m"))
     share = hit.join(size, "query_id").select("query_id", "video_id", (F.col("m") / F.col("n")).alias("entity_overlap"))
     return entries.join(share, ["query_id", "video_id"], "left").withColumn("entity_overlap", F.coalesce("entity_overlap", F.lit(0.0)))
 
@@ -191,25 +197,33 @@ def inclusion_threshold(entries: DataFrame, thresholds: dict[str, float] | None
     return entries.filter(reduce(lambda a, b: a | b, [F.col(c) >= v for c, v in t.items()]))
 
 
+def _found(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows whose key was found. A checked number of keys is broadcast, so other rows go into no further shuffle."""
+    keys = found.select(key).distinct()
+    return rows.join(F.broadcast(keys) if keys.count() <= FOUND_KEYS else keys, key, "left_semi")
+
+
 def score_hits(queries: DataFrame, tables: dict[str, DataFrame], k: int = 200, weights: dict[str, float] | None = None, text: str = "text") -> DataFrame:
     """All scores of every hit of every query.
 
     queries: query_id, vector, text. tables: ``segments``, ``frames`` and ``comments`` with id, vector and their
     payload, ``audio``, ``alignments``, ``change_points``, ``entities``(canonical_name) and ``video_entities``.
-    Side tables are cut down to the found videos by their joins; the fused hits are kept once for all of them.
+    Rows and side tables are cut to what was found before they are joined; the hits and the fused hits are kept once for all of them.
     """
     from .vectors import vector_topk
     q = decompose_query(queries.drop("vector"), text)
     vec = queries.select("query_id", "vector")
 
     def best(name):
-        return vector_topk(tables[name], vec, k).drop("rank").join(tables[name].drop("vector"), "id")
+        hits = cut_lineage(vector_topk(tables[name], vec, k).drop("rank"))
+        return hits.join(_found(tables[name].drop("vector"), hits, "id"), "id")
 
     e = fuse_hits(best("segments"), best("frames"), q)
-    e = add_comment_scores(e, best("comments"))
-    e = cut_lineage(add_entity_overlap(e, query_entities(queries, tables["entities"], text), tables["video_entities"]))
+    e = cut_lineage(add_comment_scores(e, best("comments")))
+    audio, alignments, points, mentioned = [_found(tables[name], e, "video_id") for name in ("audio", "alignments", "change_points", "video_entities")]
     at = e.select(*KEY, "timestamp")
-    extra = [add_audio_scores(at, tables["audio"], q, text), add_alignment(at, tables["alignments"]), add_change_points(at, tables["change_points"])]
+    extra = [add_audio_scores(at, audio, q, text), add_alignment(at, alignments), add_change_points(at, points)]
+    e = add_entity_overlap(e, query_entities(queries, tables["entities"], text), mentioned)
     for side in extra:
         e = e.join(side.drop("timestamp"), KEY)
     return final_score(cut_lineage(e), weights)
