@@ -140,13 +140,15 @@ def reuse(prints: DataFrame, step: float = 1.0, min_seconds: float = 2.0, stock_
     hashes: single blocks that many videos share bring no candidates.
     """
     p = prints.select("video_id", "channel_id", F.floor(F.col("timestamp") / step).cast("long").alias("k"), "hash")
-    spread = p.groupBy("hash").agg(F.count_distinct("video_id").alias("videos"), F.count_distinct("channel_id").alias("channels")).filter("videos > 1")
+    # more than one video: the smallest is not the largest
+    ends = [F.min("v0").alias("v0"), F.max("v1").alias("v1")]
+    spread = p.groupBy("hash", "channel_id").agg(F.min("video_id").alias("v0"), F.max("video_id").alias("v1")).groupBy("hash").agg(*ends, F.count("channel_id").alias("channels")).filter("v0 < v1")
     p = p.join(spread.select("hash", (F.col("channels") >= stock_channels).alias("stock")), "hash").select("video_id", "k", "hash", "stock").distinct()
     blocks = 1
     if min_seconds > step:
         follow = p.select("video_id", (F.col("k") - 1).alias("k"), F.col("hash").alias("hash2"), F.col("stock").alias("stock2"))
         p = p.join(follow, ["video_id", "k"]).select("video_id", "k", F.struct("hash", "hash2").alias("hash"), (F.col("stock") | F.col("stock2")).alias("stock"))
-        shared = p.groupBy("hash").agg(F.count_distinct("video_id").alias("v")).filter("v > 1").select("hash")
+        shared = p.groupBy("hash").agg(F.min("video_id").alias("v0"), F.max("video_id").alias("v1")).filter("v0 < v1").select("hash")
         p = p.join(shared, "hash", "left_semi")
         blocks = 2
     a = p.select("hash", F.col("video_id").alias("a"), F.col("k").alias("ka"), "stock")
