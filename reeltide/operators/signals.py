@@ -53,12 +53,15 @@ def background_changes(video_vectors: DataFrame, threshold: float = 0.6) -> Data
 
 
 def upload_patterns(uploads: DataFrame, limit: float = 2.0) -> DataFrame:
-    u = uploads.withColumn("at", whole_number_seconds("ts")).withColumn("hour", F.hour("ts").cast("long")).withColumn("weekday", F.weekday("ts").cast("long"))
-    u = with_previous(u, "channel_id", ["at", "video_id"], time_bucket("at", MONTH), ["at"])
-    s = u.groupBy("channel_id").agg(F.avg("hour").alias("m"), F.stddev_pop("hour").alias("sd"))
+    u = uploads.withColumns({"at": whole_number_seconds("ts"), "us": F.unix_micros("ts"), "hour": F.hour("ts").cast("long"), "weekday": F.weekday("ts").cast("long")})
+    u = with_previous(u, "channel_id", ["at", "video_id"], time_bucket("at", MONTH), ["us"])
+    # mean and deviation from whole sums: a hour exactly at the limit must not pass it by the error of a running mean
+    exact = [F.col(c).cast("decimal(38,0)") for c in ("n", "s", "q")]
+    s = u.groupBy("channel_id").agg(F.count("hour").alias("n"), F.sum("hour").alias("s"), F.sum(F.col("hour") * F.col("hour")).alias("q"))
+    s = s.select("channel_id", "n", "s", F.sqrt((exact[0] * exact[2] - exact[1] * exact[1]).cast("double")).alias("spread"))
     j = u.join(s, "channel_id")
-    z = F.when(F.col("sd") > 1e-9, (F.col("hour") - F.col("m")) / F.col("sd"))
-    return j.select("channel_id", "video_id", "hour", "weekday", F.floor((F.col("at") - F.col("prev.at")) / DAY).cast("long").alias("days_since_last"),
+    z = F.when(F.col("spread") > 0, (F.col("hour") * F.col("n") - F.col("s")) / F.col("spread"))
+    return j.select("channel_id", "video_id", "hour", "weekday", F.floor((F.col("us") - F.col("prev.us")) / (DAY * 1e6)).cast("long").alias("days_since_last"),
                     rnd(z, 4).alias("hour_z"), F.coalesce(F.abs(z) > limit, F.lit(False)).alias("is_anomalous"))
 
 
