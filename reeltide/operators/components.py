@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 
 def _clean(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable; nodes without an edge are left out.
 
     Large and small star steps in turn until nothing changes; the number of rounds grows with the logarithm of the longest
-    path, whatever the diameter. Each round is cut by a checkpoint and moves no more rows than there are edges and nodes.
+    path, whatever the diameter. Each step is cut by a checkpoint, moves no more rows than there are edges and nodes, and
+    deletes what the step before it left.
     """
     now = cut_lineage(_clean(edges.toDF("a", "b")))
     mark = None
@@ -38,4 +39,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = tuple(seen)
-        now = cut_lineage(_clean(_small_star(_clean(_large_star(now)))))
+        for star in (_large_star, _small_star):
+            before, now = now, cut_lineage(_clean(star(now)))
+            release(before)
