@@ -35,3 +35,20 @@ def test_ranks_and_what_is_left(spark, directed):
     got = graph.pagerank(nodes, edges, directed=directed)
     assert len(folders(spark) - before) <= 2  # the ranks and the names, no round and no edges
     assert {r["id"]: r["influence_centrality"] for r in got.collect()} == pytest.approx(plain_ranks(30, pairs, directed), abs=6e-5)
+
+
+def test_triangles_in_passes(spark, monkeypatch):
+    nodes, edges, pairs = some(spark, 12, 90)
+    kept, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "PASS_EDGES", 20, raising=False)
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: kept.append(dict(df.dtypes)) or cut(df))
+    before = folders(spark)
+    got = {r["id"]: r["clustering"] for r in graph.clustering_betweenness(nodes, edges).collect()}
+    near = {}
+    for s, t in pairs:
+        near.setdefault(s, []).append(t)
+        near.setdefault(t, []).append(s)
+    inside = {v: sum(near[w].count(x) for w in set(near[v]) for x in set(near[v]) if x in near[w]) for v in near}
+    assert got == pytest.approx({v: inside[v] / max(len(near[v]) * (len(near[v]) - 1), 1) for v in near}, abs=6e-5)
+    assert [x["u"] for x in kept if "w" in x] == ["bigint"]  # no names beside the counted edges
+    assert len(folders(spark) - before) <= 20
