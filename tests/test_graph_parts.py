@@ -52,3 +52,13 @@ def test_triangles_in_passes(spark, monkeypatch):
     assert got == pytest.approx({v: inside[v] / max(len(near[v]) * (len(near[v]) - 1), 1) for v in near}, abs=6e-5)
     assert [x["u"] for x in kept if "w" in x] == ["bigint"]  # no names beside the counted edges
     assert len(folders(spark) - before) <= 20
+
+
+def test_measures_of_one_count(spark):
+    nodes, edges, _ = some(spark)
+    nodes = nodes.selectExpr("id", "'Topic' as node_type")
+    want = {r["id"]: (r["influence_centrality"], r["betweenness_centrality"]) for r in graph.pagerank(nodes, edges).join(graph.clustering_betweenness(nodes, edges), "id").collect()}
+    before = folders(spark)
+    got = graph.graph_intelligence(nodes, edges)
+    assert len(folders(spark) - before) <= 6  # names, ranks, clustering and the shares of two sides
+    assert {r["id"]: (r["influence_centrality"], r["betweenness_centrality"]) for r in got.collect()} == want
